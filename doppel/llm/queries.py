@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doppel.llm import quality, shared, toxicity
+from doppel.llm import chat, quality, shared, toxicity
 
 
 def _remainder(of: int):
@@ -27,5 +27,27 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op9_toxicity": op9_toxicity}
-ORACLE_SQL: dict[str, str] = {}
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(shared.table(spark, sf_dir, "conversations"))
+
+
+OP8_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+p AS (
+  SELECT *, md5(CAST(list([role, text]) OVER (PARTITION BY conv_id ORDER BY pos) AS VARCHAR)) AS h,
+         count(*) OVER (PARTITION BY conv_id) AS n_turns
+  FROM t),
+whole AS (SELECT n_turns, h, min(conv_id) AS conv_id, count(*) AS n_same FROM p WHERE pos = n_turns GROUP BY n_turns, h),
+kept AS (
+  SELECT * FROM whole w
+  WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos = w.n_turns AND p.h = w.h AND p.n_turns > p.pos))
+SELECT k.conv_id, CAST((t.pos - 1) // 1024 AS INTEGER) AS part, any_value(k.n_turns) AS n_turns, any_value(k.n_same) AS n_same,
+       string_agg('<|im_start|>' || replace(t.role, '<|', '< |') || chr(10) || replace(t.text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY t.pos) AS text
+FROM kept k JOIN t USING (conv_id) GROUP BY k.conv_id, (t.pos - 1) // 1024
+"""
+
+QUERIES = {"op1_quality": op1_quality, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity}
+ORACLE_SQL: dict[str, str] = {"op8_chat": OP8_SQL}

@@ -214,16 +214,20 @@ def score_texts(m: Model, column: pa.Array) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, per_class: int) -> tuple[list[str], np.ndarray]:
-    """At most `per_class` labelled texts of each class, in the order of their hash: bounded, so the driver may hold them.
-
-    Labels that aren't 0 or 1 and labels without a text's row are passed by; a text of contrary labels counts for each."""
-    rows = docs.select(F.col(id_col).alias("_id"), shared.whole_text(text_col).alias("_text")).join(
-        labels.filter(F.col(label).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_label")), "_id"
-    )
-    order = [F.xxhash64("_text", F.lit(7)), F.col("_id")]
-    got = [r for y in (0, 1) for r in rows.filter(F.col("_label") == y).orderBy(*order).limit(per_class).select("_text", "_label", F.xxhash64("_text", F.lit(8)).alias("_o"), "_id").collect()]
-    got.sort(key=lambda r: (r["_o"], r["_id"]))
-    return [r["_text"] for r in got], np.array([r["_label"] for r in got], np.int64)
+    """At most `per_class` labelled texts of each class, those of the least hash of the id: bounded, so the driver may hold them.
+
+    The rows are chosen from ids alone; only then are their texts read. Labels that aren't 0 or 1 and labels without a
+    text's row are passed by; of contrary labels of one id the lesser counts."""
+    marked = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(label)).cast("int").alias("_label"))
+    marked = marked.join(docs.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi").withColumn("_order", F.xxhash64("_id"))
+    chosen = [r for y in (0, 1) for r in marked.filter(F.col("_label") == y).orderBy("_order", "_id").limit(per_class).collect()]
+    if not chosen:
+        return [], np.zeros(0, np.int64)
+    of = {r["_id"]: (r["_order"], r["_label"]) for r in chosen}
+    ids = docs.sparkSession.createDataFrame([(r["_id"],) for r in chosen], docs.select(F.col(id_col).alias("_id")).schema)
+    texts = docs.select(F.col(id_col).alias("_id"), shared.whole_text(text_col).alias("_text")).join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min("_text").alias("_text")).collect()
+    texts.sort(key=lambda r: (of[r["_id"]][0], r["_id"]))
+    return [r["_text"] for r in texts], np.array([of[r["_id"]][1] for r in texts], np.int64)
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE_PER_CLASS) -> Model:
