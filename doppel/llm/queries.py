@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doppel.llm import chat, quality, shared, toxicity
+from doppel.llm import ann, chat, quality, shared, toxicity, warc
 
 
 def _remainder(of: int):
@@ -27,6 +27,25 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shared.table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.filter("vec_id % 20 = 0"), k=20)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(shared.table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id, count(*) OVER (PARTITION BY payload_digest) AS n FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND n > 1 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND n > 1 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM q
+"""
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(shared.table(spark, sf_dir, "conversations"))
 
@@ -49,5 +68,5 @@ SELECT k.conv_id, CAST((t.pos - 1) // 1024 AS INTEGER) AS part, any_value(k.n_tu
 FROM kept k JOIN t USING (conv_id) GROUP BY k.conv_id, (t.pos - 1) // 1024
 """
 
-QUERIES = {"op1_quality": op1_quality, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity}
-ORACLE_SQL: dict[str, str] = {"op8_chat": OP8_SQL}
+QUERIES = {"op1_quality": op1_quality, "op2_ann": op2_ann, "op5_warc": op5_warc, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity}
+ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op8_chat": OP8_SQL}

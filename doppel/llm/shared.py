@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch; texts of a batch are worked on in slices of SLICE_BYTES.
 BATCH_ROWS = 1024
 SLICE_BYTES = 1 << 19
+BATCH_BYTES = 16 << 20
 
 _MULT = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -21,10 +24,26 @@ _MASK = (1 << 64) - 1
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder; batches handed to Python stay small."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context: they may lack it on their own path."""
+    context = spark.sparkContext
+    if getattr(context, "_doppel_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="doppel-code-")) / "doppel.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f"{top.name}/{f.relative_to(top)}")
+    context.addPyFile(str(path))
+    context._doppel_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset (local runs) one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
