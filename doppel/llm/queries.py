@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doppel.llm import ann, chat, quality, shared, toxicity, warc
+from doppel.llm import ann, chat, neardup, quality, shared, toxicity, warc
 
 
 def _remainder(of: int):
@@ -32,6 +32,10 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.filter("vec_id % 20 = 0"), k=20)
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(shared.table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(shared.table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -68,5 +72,5 @@ SELECT k.conv_id, CAST((t.pos - 1) // 1024 AS INTEGER) AS part, any_value(k.n_tu
 FROM kept k JOIN t USING (conv_id) GROUP BY k.conv_id, (t.pos - 1) // 1024
 """
 
-QUERIES = {"op1_quality": op1_quality, "op2_ann": op2_ann, "op5_warc": op5_warc, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity}
+QUERIES = {"op1_quality": op1_quality, "op2_ann": op2_ann, "op3_neardup": op3_neardup, "op5_warc": op5_warc, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity}
 ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op8_chat": OP8_SQL}
