@@ -9,8 +9,8 @@ tables together reach TARGET. Candidates of all tables are merged and ranked by
 The number of functions grows with the logarithm of the rows, so that buckets keep their size. Widths, offsets and spreads
 are fitted on at most SAMPLE rows of least hash; every row is indexed. A bucket expected to hold more than CHUNK vectors is
 split over several tasks, all of which its queries visit: no candidate is dropped. Of equal vectors one is indexed, with the
-smallest ids of its copies, as many as an answer can hold. The sample's own scores give each query a floor below which a
-candidate can't be among its nearest, so that a bucket returns little.
+smallest ids of its copies, as many as an answer can hold. The sample's own scores give each query a floor, its
+(2 k + 2)th best there, below which a candidate can't be among the k nearest, so that a bucket returns little.
 
 Defined results: vectors that are null, empty, zero, of another than the most frequent length, or that hold null or
 non-finite components take no part, nor do rows without an id; of repeated ids each row is a candidate, and the queries'
@@ -31,7 +31,7 @@ from doppel.llm import shared
 
 TABLES = 8
 TARGET = 0.97
-SAMPLE, PILOT = 4096, 64
+SAMPLE, PILOT = 16384, 64
 CHUNK = 384
 #: Buckets hold about so many rows, before the first and last cells.
 BUCKET_ROWS = 1500
@@ -134,8 +134,7 @@ def fit(vectors: DataFrame, k: int, seed: int = 2) -> Index | None:
     n, norm = vectors.select(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("_vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x)))).first()
     if not n:
         return None
-    got = vectors.orderBy(F.xxhash64("_h1", F.lit(seed)), "_h1", "_h2").limit(SAMPLE).select("_vec").collect()
-    x = np.array([r[0] for r in got], np.float64)
+    x = matrix(vectors.orderBy(F.xxhash64("_h1", F.lit(seed)), "_h1", "_h2").limit(SAMPLE).select("_vec").toArrow()["_vec"])
     rng = np.random.default_rng(seed)
     functions = max(3, int(np.ceil(np.log(max(2, n / BUCKET_ROWS)) / np.log(2)))) if n > 2 * BUCKET_ROWS else 2
     cols = TABLES * functions
@@ -195,8 +194,9 @@ def search(rows: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "v
             p = ix.project(x, query)
             tasks, at = [], []
             if query:
-                low = ix.floor @ x.T
-                low = -np.partition(-low, k + 1, axis=0)[k + 1] if len(low) > k + 2 else np.full(len(x), -np.inf)
+                low = np.full(len(x), -np.inf)
+                for i in range(0, len(x) if len(ix.floor) > 2 * k + 2 else 0, 128):
+                    low[i : i + 128] = np.partition(x[i : i + 128] @ ix.floor.T, -2 * k - 2, axis=1)[:, -2 * k - 2]
                 for t in range(TABLES):
                     for r, keys in ix.probes(t, p):
                         for key in keys.tolist():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doppel.llm import ann, chat, neardup, quality, shared, toxicity, warc
+from doppel.llm import ann, chat, neardup, quality, shared, suffixes, toxicity, warc
 
 
 def _remainder(of: int):
@@ -50,6 +50,11 @@ FROM q
 """
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.remove(docs, digest=True)
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(shared.table(spark, sf_dir, "conversations"))
 
@@ -72,5 +77,5 @@ SELECT k.conv_id, CAST((t.pos - 1) // 1024 AS INTEGER) AS part, any_value(k.n_tu
 FROM kept k JOIN t USING (conv_id) GROUP BY k.conv_id, (t.pos - 1) // 1024
 """
 
-QUERIES = {"op1_quality": op1_quality, "op2_ann": op2_ann, "op3_neardup": op3_neardup, "op5_warc": op5_warc, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity}
+QUERIES = {"op1_quality": op1_quality, "op2_ann": op2_ann, "op3_neardup": op3_neardup, "op5_warc": op5_warc, "op6_suffixes": op6_suffixes, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity}
 ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op8_chat": OP8_SQL}

@@ -144,6 +144,7 @@ class Rolling:
 
     def between(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of raw[start:end], not yet mixed."""
+        self.powers(len(sums))
         return (sums[end] - sums[start]) * self.down[start]
 
 
