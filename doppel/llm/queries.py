@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doppel.llm import ann, chat, neardup, quality, shared, suffixes, toxicity, warc
+from doppel.llm import ann, binpack, chat, neardup, packing, quality, shared, suffixes, toxicity, warc
 
 
 def _remainder(of: int):
@@ -36,6 +36,10 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(shared.table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(shared.table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(shared.table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -55,6 +59,12 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove(docs, digest=True)
 
 
+def op7_binpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each written sequence: what it holds, and checksums of its ids and positions."""
+    got = binpack.write(shared.table(spark, sf_dir, "documents"), shared.fresh_path(spark, "matrices"))
+    return got.select("sequence_id", "n_tokens", "cu_seqlens", "doc_ids", "starts", F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(shared.table(spark, sf_dir, "conversations"))
 
@@ -77,5 +87,5 @@ SELECT k.conv_id, CAST((t.pos - 1) // 1024 AS INTEGER) AS part, any_value(k.n_tu
 FROM kept k JOIN t USING (conv_id) GROUP BY k.conv_id, (t.pos - 1) // 1024
 """
 
-QUERIES = {"op1_quality": op1_quality, "op2_ann": op2_ann, "op3_neardup": op3_neardup, "op5_warc": op5_warc, "op6_suffixes": op6_suffixes, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity}
+QUERIES = {"op1_quality": op1_quality, "op2_ann": op2_ann, "op3_neardup": op3_neardup, "op4_packing": op4_packing, "op5_warc": op5_warc, "op6_suffixes": op6_suffixes, "op7_binpack": op7_binpack, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity}
 ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op8_chat": OP8_SQL}

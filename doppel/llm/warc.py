@@ -5,9 +5,9 @@ result code, checksum, location, offset and file name besides) and the declared
 with synthesised identifier, timestamp, type and digests. Of records with equal payloads of MIN_REVISIT bytes or more the
 one with the least page id is a response, the others revisit it (profile identical-payload-digest).
 
-Archives are written and read by Spark's own writers and readers, gzipped, in parts of about PART_BYTES before
-compression, so that one part fits a task. Payloads are dealt by digest only together with a salt; which record a payload
-refers to comes from a table of digests that occur more than once, summed map-side.
+Archives are written and read by Spark's own writers and readers, WARC gzipped, in parts of about PART_BYTES before
+compression, so that one part fits a task. Which record a payload refers to comes from a table of the digests that occur
+more than once, summed map-side; Spark splits a hot digest's join to it.
 
 Defined results: a null html is an empty payload; a null or blank url is written "about:blank", blanks and line ends in it
 are percent-encoded; repeated rows with the least page id are all responses; rows without a page id revisit if a row with
@@ -124,17 +124,20 @@ def warc_records(data: bytes) -> Iterator[tuple[str, bytes]]:
         at = end + 8 + size
 
 
-def _write(rows: DataFrame, path: str) -> None:
+def _write(rows: DataFrame, path: str, compression: str) -> None:
     """Rows (line, part): a folder for each part, each task's files of their own. A line's own end is the separator after it."""
-    rows.write.partitionBy("part").option("compression", "gzip").option("lineSep", "\n").text(path)
+    rows.write.partitionBy("part").option("compression", compression).option("lineSep", "\n").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path).select("content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("content")
 
 
 def _gunzip(data: bytes) -> bytes:
+    """Gzipped archives, of one member or of many, unpacked; others as they are."""
     out = []
+    if data[:2] != b"\x1f\x8b":
+        return data
     while data:
         d = zlib.decompressobj(31)
         out.append(d.decompress(data))
@@ -146,7 +149,7 @@ def clean_url(url: str | None) -> str:
     return re.sub(r"[\s\x00-\x20]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), (url or "").strip()) or "about:blank"
 
 
-def write_arc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def write_arc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", compression: str = "none") -> None:
     """Legacy archives of the pages: parts of even number in version 1, of odd number in version 2."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), shared.whole_text(html_col).alias("html"))
 
@@ -168,7 +171,7 @@ def write_arc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
                 size += len(payload) + len(http) + len(line)
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string()), pa.array(parts, pa.int32())], names=["line", "part"])
 
-    _write(rows.mapInArrow(run, "line string, part int"), path)
+    _write(rows.mapInArrow(run, "line string, part int"), path, compression)
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
@@ -211,7 +214,7 @@ def convert(spark: SparkSession, arc: str, warc: str) -> None:
                 parts.append(part)
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string()), pa.array(parts, pa.int32())], names=["line", "part"])
 
-    _write(joined.mapInArrow(run, "line string, part int"), warc)
+    _write(joined.mapInArrow(run, "line string, part int"), warc, "gzip")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
