@@ -1,14 +1,60 @@
-"""A corpus pipeline: each stage takes (spark, docs, sf_dir), is written as Parquet and reread as the next one's docs."""
+"""A corpus pipeline: each stage takes (spark, docs, sf_dir), is written as Parquet and reread as the next one's docs.
+
+Toxic documents go; of near duplicates one document stays; passages of 200 bytes or more that occur again are cut out;
+documents that hold a benchmark item go; what is left is packed into sequences. All stages but the last return the columns
+of `documents`. A stage works on whatever its predecessor kept.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from doppel.llm import decontam, neardup, packing, shared, suffixes, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5; learnt from the labels that aren't held out."""
+    shared.prepare(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    model = toxicity.fit(spark, docs, labels)
+    return toxicity.score(docs, model, score_col="_toxicity").filter("_toxicity < 0.5").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document of the least id."""
+    shared.prepare(spark)
+    return neardup.deduplicated(docs).select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that occur again; n_chars follows the text."""
+    shared.prepare(spark)
+    left = suffixes.remove(docs)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else left
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    shared.prepare(spark)
+    return decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), only_clean=True)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    shared.prepare(spark)
+    return packing.pack(docs)
 
-from doppel.llm import shared
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("neardup", drop_near_duplicates),
+    ("suffixes", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
 
 #: SQL can't express the stages; tests hold run() against a brute-force version.
 ORACLE_SQL: str | None = None

@@ -52,7 +52,7 @@ def shingles(lower: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     p = _P
     for j in range(1, SHINGLE):
         acc[: len(w) - j] += w[j:] * p if j < len(w) else np.uint64(0)
-        p = p * _P
+        p = np.uint64(int(p) * int(_P) & shared._MASK)
     row = np.repeat(np.arange(n), count)
     place = np.arange(len(w)) - np.repeat(first[:-1], count)
     keep = place <= np.maximum(count[row] - SHINGLE, 0)
@@ -276,7 +276,7 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, class_id, n_links) of every document; n_links counts the links of its text to other texts that were found."""
+    """(id, class_id, n_links, node) of every document; n_links counts the links of its text to other texts that were found."""
     found, rows = links(docs, id_col=id_col, text_col=text_col, threshold=threshold)
     found = shared.cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar")
     roots = components(found, "a", "b")
@@ -286,4 +286,19 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     named = least.join(least.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id").join(degree, "node", "left")
     named = shared.cut(named, "classes")
     got = rows.join(named, "node", "left")
-    return got.select(F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return got.select(F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "node")
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """`docs` with one document of each class: that of the class id. Documents without a word all stay."""
+    named = shared.cut(classes(docs, id_col=id_col, text_col=text_col, threshold=threshold), "named").filter("node is not null")
+    node = F.xxhash64(shared.whole_text(text_col))
+    d, gone = docs.withColumn("_node", node).alias("d"), named.filter(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_id"), F.col("node")).distinct().alias("g")
+    kept = d.join(gone, F.col(f"d.{id_col}").eqNullSafe(F.col("g._id")) & (F.col("d._node") == F.col("g.node")), "left_anti")
+    # rows that repeat both id and text: only where there are any
+    twice = named.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy(F.col(id_col).alias("_id"), "node").count().filter("count > 1").drop("count")
+    twice = shared.cut(twice, "twice")
+    if not twice.isEmpty():
+        t, same = twice.alias("t"), F.col(f"d.{id_col}").eqNullSafe(F.col("t._id")) & (F.col("d._node") == F.col("t.node"))
+        kept = kept.join(t, same, "left_anti").unionByName(kept.join(t, same, "left_semi").dropDuplicates([id_col, "_node"]))
+    return kept.drop("_node")

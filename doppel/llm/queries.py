@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doppel.llm import ann, binpack, chat, neardup, packing, quality, shared, suffixes, toxicity, warc
+from doppel.llm import ann, binpack, chat, decontam, neardup, packing, quality, shared, suffixes, toxicity, warc
 
 
 def _remainder(of: int):
@@ -33,7 +33,7 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(shared.table(spark, sf_dir, "documents"))
+    return neardup.classes(shared.table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +87,11 @@ SELECT k.conv_id, CAST((t.pos - 1) // 1024 AS INTEGER) AS part, any_value(k.n_tu
 FROM kept k JOIN t USING (conv_id) GROUP BY k.conv_id, (t.pos - 1) // 1024
 """
 
-QUERIES = {"op1_quality": op1_quality, "op2_ann": op2_ann, "op3_neardup": op3_neardup, "op4_packing": op4_packing, "op5_warc": op5_warc, "op6_suffixes": op6_suffixes, "op7_binpack": op7_binpack, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity}
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").alias("n_items"), F.sort_array("items").alias("item_ids"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_ann": op2_ann, "op3_neardup": op3_neardup, "op4_packing": op4_packing, "op5_warc": op5_warc, "op6_suffixes": op6_suffixes, "op7_binpack": op7_binpack, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_decontam": op10_decontam}
 ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op8_chat": OP8_SQL}

@@ -23,11 +23,16 @@ _MASK = (1 << 64) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input folder; batches handed to Python stay small."""
+    """A table of the input folder."""
+    prepare(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def prepare(spark: SparkSession) -> None:
+    """Sends the package, and keeps the batches handed to Python small."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ship(spark: SparkSession) -> None:
