@@ -85,6 +85,16 @@ def lanes(spark: SparkSession, count: int) -> list[int]:
     return [of.get(p, p) for p in range(count)]
 
 
+def even_bounds(keys: np.ndarray, size: np.ndarray, count: int) -> np.ndarray:
+    """Keys that part the sample evenly, rows and bytes weighing alike."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    order = np.argsort(keys, kind="stable")
+    weight = np.cumsum(1 + size[order] / max(1.0, size.mean()))
+    at = np.searchsorted(weight, weight[-1] * np.arange(1, count) / count)
+    return keys[order][np.minimum(at, len(keys) - 1)]
+
+
 def along_curve(docs: DataFrame, id_col: str, text_col: str, extra: list[str]) -> DataFrame:
     """Rows (_id, _text, extra) dealt to ranges of the curve and sorted there."""
     spark = docs.sparkSession
@@ -96,10 +106,10 @@ def along_curve(docs: DataFrame, id_col: str, text_col: str, extra: list[str]) -
 
     def key_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(curve_keys(b.column(0)))], names=["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(curve_keys(b.column(0))), pa.array(np.diff(shared.text_buffer(b.column(0))[1]))], names=["key", "bytes"])
 
-    sample = rows.filter(F.pmod(F.xxhash64("_id"), F.lit(every)) == 0).select("_text").mapInArrow(key_only, "key long")
-    bounds = np.array(sample.agg(F.percentile_approx("key", [i / count for i in range(1, count)], 20 * count)).first()[0] or [], np.int64) if count > 1 else np.zeros(0, np.int64)
+    sample = rows.filter(F.pmod(F.xxhash64("_id"), F.lit(every)) == 0).select("_text").mapInArrow(key_only, "key long, bytes long").toArrow()
+    bounds = even_bounds(sample["key"].to_numpy(), sample["bytes"].to_numpy(), count)
     shipped = spark.sparkContext.broadcast((bounds, np.array(lanes(spark, count), np.int32)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
