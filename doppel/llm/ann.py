@@ -159,7 +159,7 @@ def fit(vectors: DataFrame, k: int, seed: int = 2) -> Index | None:
         rows = len(q) * best.shape[1]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q)), best.shape[1])), pa.array(best.reshape(-1)), pa.FixedSizeListArray.from_arrays(pa.array(vec.reshape(-1)), q.shape[1]).cast(pa.list_(pa.float64())) if rows else pa.array([], pa.list_(pa.float64()))], names=["q", "s", "v"])
 
-    found = vectors.select("_vec").mapInArrow(nearest, "q long, s double, v array<double>")
+    found = vectors.select("_vec").mapInArrow(shared.trimmed(nearest), "q long, s double, v array<double>")
     nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))
     near = found.withColumn("n", nth).filter(f"n between 2 and {k + 1}").select("q", "v").collect()
     if near:
@@ -226,7 +226,7 @@ def search(rows: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "v
 
     kind = f"task long, query boolean, h1 long, h2 long, low double, vec array<{dict(vectors.dtypes)['_vec'][6:-1]}>"
     spread = spark.sparkContext.defaultParallelism
-    tasks = vectors.select("_h1", "_h2", "_vec").mapInArrow(lambda b: deal(b, False), kind).unionByName(want.repartition(4 * spread, "_h1").select("_h1", "_h2", "_vec").mapInArrow(lambda b: deal(b, True), kind))
+    tasks = vectors.select("_h1", "_h2", "_vec").mapInArrow(shared.trimmed(lambda b: deal(b, False)), kind).unionByName(want.repartition(4 * spread, "_h1").select("_h1", "_h2", "_vec").mapInArrow(shared.trimmed(lambda b: deal(b, True)), kind))
 
     def match(group: pa.Table) -> pa.Table:
         is_q = group["query"].to_numpy(zero_copy_only=False).astype(bool)

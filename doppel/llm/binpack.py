@@ -80,12 +80,13 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
 def pack(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END, pad: int = PAD, wide: bool = False) -> DataFrame:
     """Sequences (see the module): sequence_id, n_tokens, ids, positions, cu_seqlens, doc_ids, starts."""
     path = tokenizer or tokens.default_path()
+    fast = tokens.agreed(path)
     rows = docs.select(F.col(id_col).alias("_id"), shared.whole_text(text_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     number = np.dtype("<u4" if wide else "<u2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(path)
+        encode = tokens.encoder(path, fast)
         seq = TaskContext.get().partitionId() << 40
         parts: list[tuple] = []
         held = 0
@@ -131,7 +132,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_id
         if parts:
             yield flush()
 
-    return rows.mapInArrow(run, f"sequence_id long, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<{kind}>, starts array<long>")
+    return rows.mapInArrow(shared.trimmed(run), f"sequence_id long, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<{kind}>, starts array<long>")
 
 
 def write(docs: DataFrame, path: str, **options) -> DataFrame:

@@ -180,5 +180,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
                     cols[k] = pa.array([(old or []) + [ids[i] for i in sorted(f)] for old, f in zip(cols[k].to_pylist(), found, strict=True)], cols[k].type)
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-        out = out.select("*", shared.whole_text(text_col).alias("_whole")).mapInArrow(run, out.schema)
+        out = out.select("*", shared.whole_text(text_col).alias("_whole")).mapInArrow(shared.trimmed(run), out.schema)
     return out

@@ -33,7 +33,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 18, 6
 HASHES = BANDS * ROWS
 IDF_BUCKETS, IDF_SPAN, IDF_STEPS = 1 << 16, 0.25, 10
-SLOTS = 1 << 14
+SLOTS = 1 << 13
 LEADERS, BLOCK, PARTNERS = 2, 256, 8
 #: Samples alike from which on a pair of a block is verified: 1.8 standard deviations below the threshold.
 LIKELY = 0.73
@@ -87,7 +87,7 @@ def idf_table(docs: DataFrame, text_col: str) -> np.ndarray:
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(df[some], rows))], names=["bucket", "n"])
 
-    counts = docs.select(shared.whole_text(text_col).alias("_t")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    counts = docs.select(shared.whole_text(text_col).alias("_t")).mapInArrow(shared.trimmed(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     df, rows = np.zeros(IDF_BUCKETS), 0
     for r in counts:
         if r["bucket"] < 0:
@@ -178,7 +178,7 @@ def sketches(docs: DataFrame, idf, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), node, shared.list_column(bands.reshape(-1), ok * BANDS, pa.int64()), samples], names=["id", "node", "bands", "samples"])
 
     kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(shared.whole_text(text_col)).alias("node"), shared.whole_text(text_col).alias("_t")).mapInArrow(run, f"id {kind}, node long, bands array<long>, samples binary")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(shared.whole_text(text_col)).alias("node"), shared.whole_text(text_col).alias("_t")).mapInArrow(shared.trimmed(run), f"id {kind}, node long, bands array<long>, samples binary")
 
 
 def _bands(samples: np.ndarray) -> np.ndarray:
@@ -217,7 +217,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
             good = pa.array(sims >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims)], names=["a", "b", "sim"]).filter(good)
 
-    return both.mapInArrow(run, "a long, b long, sim double")
+    return both.mapInArrow(shared.trimmed(run), "a long, b long, sim double")
 
 
 def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:

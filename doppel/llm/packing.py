@@ -108,7 +108,7 @@ def along_curve(docs: DataFrame, id_col: str, text_col: str, extra: list[str]) -
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(curve_keys(b.column(0))), pa.array(np.diff(shared.text_buffer(b.column(0))[1]))], names=["key", "bytes"])
 
-    sample = rows.filter(F.pmod(F.xxhash64("_id"), F.lit(every)) == 0).select("_text").mapInArrow(key_only, "key long, bytes long").toArrow()
+    sample = rows.filter(F.pmod(F.xxhash64("_id"), F.lit(every)) == 0).select("_text").mapInArrow(shared.trimmed(key_only), "key long, bytes long").toArrow()
     bounds = even_bounds(sample["key"].to_numpy(), sample["bytes"].to_numpy(), count)
     shipped = spark.sparkContext.broadcast((bounds, np.array(lanes(spark, count), np.int32)))
 
@@ -122,7 +122,7 @@ def along_curve(docs: DataFrame, id_col: str, text_col: str, extra: list[str]) -
 
     spread = rows.withColumn("_spread", F.pmod(F.xxhash64("_id", F.length("_text"), F.lit(1)), F.lit(1 << 40)))
     schema = spread.withColumns({"_key": F.lit(0).cast("long"), "_part": F.lit(0).cast("int")}).schema
-    return spread.mapInArrow(deal, schema).repartition(count, "_part").sortWithinPartitions("_part", "_key", "_spread").drop("_spread", "_part")
+    return spread.mapInArrow(shared.trimmed(deal), schema).repartition(count, "_part").sortWithinPartitions("_part", "_key", "_spread").drop("_spread", "_part")
 
 
 def split_tail(tail: list[list[int]], left: int) -> list[tuple[list[int], int, int, int, int]]:
@@ -144,10 +144,11 @@ def split_tail(tail: list[list[int]], left: int) -> list[tuple[list[int], int, i
 def pack(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END, keep_ids: bool = False) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with `keep_ids` the ids."""
     path = tokenizer or tokens.default_path()
+    fast = tokens.agreed(path)
     kind = docs.select(F.col(id_col).alias("i")).schema["i"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(path)
+        encode = tokens.encoder(path, fast)
         base = TaskContext.get().partitionId() << 40
         seq, at, tail = 0, 0, []
 
@@ -182,4 +183,4 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_id
             yield rows_of(done, ids_type)
 
     schema = f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if keep_ids else "")
-    return along_curve(docs, id_col, text_col, []).select("_id", "_text").mapInArrow(run, schema)
+    return along_curve(docs, id_col, text_col, []).select("_id", "_text").mapInArrow(shared.trimmed(run), schema)

@@ -178,4 +178,4 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: s
             s = score_texts(shipped.value, b.column(b.schema.get_field_index("_whole")))
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(names))] + [pa.array(s, pa.float64())], names=[*names, score_col])
 
-    return docs.select(*names, shared.whole_text(text_col).alias("_whole")).mapInArrow(run, schema)
+    return docs.select(*names, shared.whole_text(text_col).alias("_whole")).mapInArrow(shared.trimmed(run), schema)

@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doppel.session import shared_folder, ship
+
 #: Rows of one Arrow batch; texts of a batch are worked on in slices of SLICE_BYTES.
 BATCH_ROWS = 1024
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 BATCH_BYTES = 16 << 20
 
-_MULT = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
@@ -35,33 +34,8 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a context: they may lack it on their own path."""
-    context = spark.sparkContext
-    if getattr(context, "_doppel_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="doppel-code-")) / "doppel.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f"{top.name}/{f.relative_to(top)}")
-    context.addPyFile(str(path))
-    context._doppel_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset (local runs) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="doppel-"))
-            found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/doppel-{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/doppel-{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -110,6 +84,26 @@ def list_column(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa
     return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(values, kind))
 
 
+def trimmed(run):
+    """A function over Arrow batches whose worker gives freed memory back when it is done: workers are used again and again."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 # ---------------------------------------------------------------- hashing
 
 

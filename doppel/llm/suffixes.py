@@ -99,7 +99,7 @@ def _within(rows: DataFrame, bits: np.ndarray, col: str, keep: bool = True) -> D
         for b in batches:
             yield b.filter(pa.array(marked(shipped.value, b.column(at).to_numpy(zero_copy_only=False)) == keep))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(shared.trimmed(run), rows.schema)
 
 
 # ---------------------------------------------------------------- the operator
@@ -126,7 +126,7 @@ def repeated(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH) -
                     names=["node", "lo", "hi", "name", "core"],
                 )
 
-    parsed = shared.cut(texts.mapInArrow(run, "node long, lo array<int>, hi array<int>, name array<long>, core array<long>"), "parse")
+    parsed = shared.cut(texts.mapInArrow(shared.trimmed(run), "node long, lo array<int>, hi array<int>, name array<long>, core array<long>"), "parse")
     phrases = parsed.select("node", F.explode(F.arrays_zip("name", "core")).alias("p")).select("node", "p.*")
     dictionary = shared.cut(phrases.groupBy("name", "core").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")), "dictionary")
     again = dictionary.filter("n > 1").select("name", "core")
@@ -141,7 +141,7 @@ def repeated(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH) -
             owner = np.repeat(b.column(0).to_numpy(), count)[hit]
             yield pa.RecordBatch.from_arrays([pa.array(x[hit] if x is not owner else x) for x in (owner, lo, hi, name, core)], names=["node", "lo", "hi", "name", "core"])
 
-    runs = parsed.mapInArrow(unnest, "node long, lo int, hi int, name long, core long").join(again, ["name", "core"]).select("node", "lo", "hi")
+    runs = parsed.mapInArrow(shared.trimmed(unnest), "node long, lo int, hi int, name long, core long").join(again, ["name", "core"]).select("node", "lo", "hi")
     # phrases that occur once and share their trigger with another phrase
     shares = shared.cut(dictionary.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("k > 1 and least = 1").select("core"), "shares")
     wanted = _within(dictionary, bitmap(shares, "core"), "core").join(shares, "core", "left_semi")
@@ -173,7 +173,7 @@ def repeated(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH) -
                 yield pa.RecordBatch.from_arrays([*(pa.array(got[k][i : i + 8192].astype(np.int64)) for k in out), pa.array(spans[i : i + 8192], pa.binary())], names=[*out, "span"])
 
     # equal texts give equal rows: one of them stays
-    spans = asked.mapInArrow(take, "node long, name long, lo long, hi long, at long, n long, span binary").dropDuplicates(["node", "name"])
+    spans = asked.mapInArrow(shared.trimmed(take), "node long, name long, lo long, hi long, at long, n long, span binary").dropDuplicates(["node", "name"])
     spans = shared.cut(spans, "spans")
 
     def cells(batches: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.RecordBatch]:
@@ -211,10 +211,10 @@ def repeated(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH) -
     def shared_codes(rows: DataFrame) -> DataFrame:
         return rows.groupBy("code").agg(F.sum("n").alias("all"), F.min("n").alias("least")).filter("`all` > 1 and least = 1").select("code")
 
-    coarse = spans.select("node", "name", "at", "n", "span").mapInArrow(lambda b: cells(b, False), "code long, n long, node long, name long, cell int")
+    coarse = spans.select("node", "name", "at", "n", "span").mapInArrow(shared.trimmed(lambda b: cells(b, False)), "code long, n long, node long, name long, cell int")
     coarse = shared.cut(coarse, "cells")
     chosen = coarse.join(shared.cut(shared_codes(coarse), "codes"), "code", "left_semi").groupBy("node", "name").agg(F.collect_list("cell").alias("cells"))
-    fine = spans.join(chosen, ["node", "name"]).select("node", "lo", "at", "n", "span", "cells").mapInArrow(lambda b: cells(b, True), "code long, n long, node long, place int")
+    fine = spans.join(chosen, ["node", "name"]).select("node", "lo", "at", "n", "span", "cells").mapInArrow(shared.trimmed(lambda b: cells(b, True)), "code long, n long, node long, place int")
     fine = shared.cut(fine, "windows")
     points = fine.filter("n = 1").join(shared.cut(shared_codes(fine), "codes"), "code", "left_semi").select("node", F.col("place").alias("lo"), F.col("place").alias("hi"))
     marks = runs.unionByName(points).groupBy("node").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
@@ -271,4 +271,4 @@ def remove(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, dig
         untouched = untouched.select(*names_, F.octet_length("_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("_text").cast("binary"), 256).alias("kept_sha256"))
     else:
         untouched = untouched.withColumnRenamed("_text", text_col).select(*docs.columns)
-    return touched.mapInArrow(run, schema).unionByName(untouched)
+    return touched.mapInArrow(shared.trimmed(run), schema).unionByName(untouched)

@@ -26,21 +26,24 @@ def default_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@functools.lru_cache(maxsize=4)
-def encoder(path: str):
-    """A function from text to its ids (numpy, unsigned 32 bits), without added special tokens."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+def agreed(path: str) -> bool:
+    """Whether both libraries agree on PROBES. Asked once, on the driver: executors then need one of them only."""
+    slow, fast = _library(path), _byte_level(path)
+    return fast is not None and all(np.array_equal(fast(t), slow(t)) for t in PROBES)
+
 
-    slow = Tokenizer.from_file(path)
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, fast: bool | None = None):
+    """A function from text to its ids (numpy, unsigned 32 bits), without added special tokens; `fast` is what agreed() said."""
+    return _byte_level(path) if (agreed(path) if fast is None else fast) else _library(path)
 
-    def plain(text: str) -> np.ndarray:
-        return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    fast = _byte_level(path)
-    if fast is None or any(not np.array_equal(fast(t), plain(t)) for t in PROBES):
-        return plain
-    return fast
+def _library(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def _byte_level(path: str):

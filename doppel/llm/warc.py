@@ -171,7 +171,7 @@ def write_arc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
                 size += len(payload) + len(http) + len(line)
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string()), pa.array(parts, pa.int32())], names=["line", "part"])
 
-    _write(rows.mapInArrow(run, "line string, part int"), path, compression)
+    _write(rows.mapInArrow(shared.trimmed(run), "line string, part int"), path, compression)
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
@@ -189,7 +189,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page_id", "url", "date", "http", "payload", "digest"])
 
-    return _files(spark, path).mapInArrow(run, "page_id long, url string, date string, http string, payload binary, digest string")
+    return _files(spark, path).mapInArrow(shared.trimmed(run), "page_id long, url string, date string, http string, payload binary, digest string")
 
 
 def convert(spark: SparkSession, arc: str, warc: str) -> None:
@@ -214,7 +214,7 @@ def convert(spark: SparkSession, arc: str, warc: str) -> None:
                 parts.append(part)
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string()), pa.array(parts, pa.int32())], names=["line", "part"])
 
-    _write(joined.mapInArrow(run, "line string, part int"), warc, "gzip")
+    _write(joined.mapInArrow(shared.trimmed(run), "line string, part int"), warc, "gzip")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -239,7 +239,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 names = [x.split()[0] for x in READ.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return _files(spark, path).mapInArrow(run, READ)
+    return _files(spark, path).mapInArrow(shared.trimmed(run), READ)
 
 
 def archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
