@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def later(column: str) -> Column:
+    """The orders are older than the replay clock: blocks are numbered as if they came 10950 days later."""
+    return F.col(column) + F.expr("INTERVAL 10950 DAYS")
+
+
 def address(kind: str, key: Column) -> Column:
     return F.left(F.sha2(F.concat(F.lit(f"{kind}:"), key.cast("string")).cast("binary"), 256), F.lit(40))
 
@@ -84,7 +89,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select(
         k.alias("event_id"), F.concat(F.lit("tx"), F.expr("cast(k div 2 as string)")).alias("hash"),
         F.when(F.col("is_sender_victim"), F.col("victim")).otherwise(F.col("lookalike")).alias("from_addr"), F.when(F.col("is_sender_victim"), F.col("lookalike")).otherwise(F.col("victim")).alias("to_addr"),
-        "token_address", "value", F.when(k % 5 == 0, 0.0).otherwise(F.col("value")).alias("value_normalized"), "observed_at", "block_time", values.time_to_block("block_time").alias("block_number"),
+        "token_address", "value", F.when(k % 5 == 0, 0.0).otherwise(F.col("value")).alias("value_normalized"), "observed_at", "block_time", values.time_to_block(later("block_time")).alias("block_number"),
         F.when(k % 97 == 0, F.lit(None)).otherwise(fraction("vis", k) >= 0.1).alias("visible"), (F.col("cls").between(1, 5) & (F.col("value") <= 10)).alias("is_poisoning"),
         F.when(F.col("value") == 0, "zero_value").when(F.col("value") <= 10, "tiny").otherwise("intended").alias("label_tx_class"), F.col("victim").alias("victim_hint"),
     )
@@ -95,7 +100,7 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, x = F.col("k"), lambda c: F.concat(F.lit("0x"), c)
     sender = F.col("is_sender_victim")
     return base_events(spark, sf_dir).select(
-        values.time_to_block("observed_at").alias("block_number"), F.concat(F.lit("0x"), F.left(F.sha2(F.concat(F.lit("tx:"), k.cast("string")).cast("binary"), 256), F.lit(64))).alias("tx_hash"),
+        values.time_to_block(later("observed_at")).alias("block_number"), F.concat(F.lit("0x"), F.left(F.sha2(F.concat(F.lit("tx:"), k.cast("string")).cast("binary"), 256), F.lit(64))).alias("tx_hash"),
         x(address("tok", F.col("t"))).alias("token_addr"), x(F.when(sender, F.col("victim")).otherwise(F.col("lookalike"))).alias("from_addr"), x(F.when(sender, F.col("lookalike")).otherwise(F.col("victim"))).alias("to_addr"),
         sender.alias("is_sender_victim"), "value", (F.col("value") * 2).alias("value_usd"), F.col("cls").isin(0, 6).alias("intended_transfer"), ((F.col("value") == 0) & F.col("cls").between(1, 5)).alias("zero_value_transfer"),
         ((F.col("value") > 0) & (F.col("value") <= 10) & F.col("cls").between(1, 5)).alias("tiny_transfer"), ((F.col("token_class") == 1) & F.col("cls").between(1, 5)).alias("counterfeit_token_transfer"),

@@ -23,9 +23,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
       k % 8 cls, (k // 24) % 4 token_class, (k // 96) % 2 = 1 is_sender_victim, d + to_days(CAST(k % 40 AS INTEGER)) observed_at
       FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, s, t, d, q, x) rn, {addr('peer', 's')} r0, {addr('mid', 'k')} mid, {addr('acct', 'c')} victim FROM lines) WHERE rn = 1"""),
     "ev": (("base",), f"""SELECT k event_id, 'tx' || CAST(k // 2 AS VARCHAR) hash, CASE WHEN is_sender_victim THEN victim ELSE lookalike END from_addr, CASE WHEN is_sender_victim THEN lookalike ELSE victim END to_addr, token_address, value,
-      CASE WHEN k % 5 = 0 THEN 0.0::DOUBLE ELSE value END value_normalized, observed_at, observed_at + INTERVAL 12 SECOND block_time, greatest(0, CAST(round((epoch_us(observed_at + INTERVAL 12 SECOND) / 1e6 - 1438214400) / 12) AS BIGINT)) block_number,
+      CASE WHEN k % 5 = 0 THEN 0.0::DOUBLE ELSE value END value_normalized, observed_at, observed_at + INTERVAL 12 SECOND block_time, greatest(0, CAST(round((epoch_us(observed_at + INTERVAL 12 SECOND + to_days(10950)) / 1e6 - 1438214400) / 12) AS BIGINT)) block_number,
       CASE WHEN k % 97 = 0 THEN NULL ELSE {frac('vis', 'k')} >= 0.1 END visible, (k % 8 BETWEEN 1 AND 5) AND value <= 10 is_poisoning, CASE WHEN value = 0 THEN 'zero_value' WHEN value <= 10 THEN 'tiny' ELSE 'intended' END label_tx_class, victim victim_hint FROM base"""),
-    "labels_": (("base",), f"""SELECT greatest(0, CAST(round((epoch_us(observed_at) / 1e6 - 1438214400) / 12) AS BIGINT)) block_number, '0x' || left(sha256('tx:' || CAST(k AS VARCHAR)), 64) tx_hash, '0x' || {addr('tok', 't')} token_addr,
+    "labels_": (("base",), f"""SELECT greatest(0, CAST(round((epoch_us(observed_at + to_days(10950)) / 1e6 - 1438214400) / 12) AS BIGINT)) block_number, '0x' || left(sha256('tx:' || CAST(k AS VARCHAR)), 64) tx_hash, '0x' || {addr('tok', 't')} token_addr,
       '0x' || CASE WHEN is_sender_victim THEN victim ELSE lookalike END from_addr, '0x' || CASE WHEN is_sender_victim THEN lookalike ELSE victim END to_addr, is_sender_victim, value, value * 2 value_usd, cls IN (0, 6) intended_transfer,
       value = 0 AND cls BETWEEN 1 AND 5 zero_value_transfer, value > 0 AND value <= 10 AND cls BETWEEN 1 AND 5 tiny_transfer, token_class = 1 AND cls BETWEEN 1 AND 5 counterfeit_token_transfer, k % 50 = 0 payoff_transfer, k % 60 = 0 payoff_transfer_unconfirmed,
       cls = 7 is_not_categorized, '0x' || r0 intended_addr, CASE cls WHEN 1 THEN 6 WHEN 2 THEN 4 WHEN 3 THEN 3 WHEN 5 THEN 2 ELSE 0 END::BIGINT num_first_matched_digits, CASE cls WHEN 1 THEN 6 WHEN 2 THEN 4 WHEN 4 THEN 3 WHEN 5 THEN 2 ELSE 0 END::BIGINT num_last_matched_digits FROM base"""),
