@@ -56,7 +56,7 @@ def test_window(spark, seen, hit):
 
 
 def test_counterfeit_token(spark):
-    c = additive((0.2, 0.1, 0.45, 0.15, 0.1), kp=4, ks=4, tau=0.70)
+    c = additive((0.2, 0.1, 0.45, 0.15, 0.1), kp=4, ks=4, tau=0.9)
     assert found(spark, c, [(R4, T1, AGO, 1)], [(L4, T2, 1)], tokens=(T1, T2)) == {(0, R4)}
     assert not found(spark, c, [(R4, T1, AGO, 1)], [(L4, T2, 1)])
 
