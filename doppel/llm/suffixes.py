@@ -242,7 +242,8 @@ def remove(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, dig
         schema = docs.select(*names_, F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit("").alias("kept_sha256")).schema
     else:
         schema = docs.schema
-    touched = _within(rows, bits, "_node").join(marks, F.col("_node") == F.col("node"), "left").select(*names_, "_text", "lo", "hi")
+    m = marks.select(F.col("node").alias("_m"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    touched = _within(rows, bits, "_node").join(m, F.col("_node") == F.col("_m"), "left").select(*names_, "_text", "_lo", "_hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
