@@ -1,6 +1,6 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
-Each word is the sum of two hashed embeddings (the word, and its first PREFIX bytes); filters of several widths
+Each word is the sum of hashed embeddings (of the word, and of its beginnings of PREFIXES bytes); filters of several widths
 run over the whole text, are max-pooled and joined by one logistic unit. Thresholds are calibrated by language, where
 the language is told from the text's own function words: a score is shifted so that 0.5 is its language's threshold.
 
@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from doppel.llm import shared
 
-BUCKETS, DIM, PREFIX = 1 << 15, 16, 6
+BUCKETS, DIM = 1 << 16, 16
+#: Beginnings of a word, in bytes, that have embeddings of their own.
+PREFIXES = (4, 6)
 WIDTHS, FILTERS = (1, 2, 3), 12
 #: At most so many labelled rows of each class are learnt from, those of the least hash of the text.
-SAMPLE_PER_CLASS = 1000
+SAMPLE_PER_CLASS = 2000
 #: The share of the sampled rows that only calibrates thresholds.
 CALIBRATION = 4
 
@@ -50,12 +52,12 @@ class Model:
     constant: float | None = None
 
 
-def word_ids(lower: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of each word and of its beginning, the first word of each text, and each text's language (-1: none told)."""
+def word_ids(lower: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of each word and of its beginnings, the first word of each text, and each text's language (-1: none told)."""
     raw, offs = shared.text_buffer(lower)
     sums, a, b, first = shared.words(raw, offs)
     full = shared.mix(shared.WORDS.between(sums, a, b))
-    head = shared.mix(shared.WORDS.between(sums, a, np.minimum(b, a + PREFIX)) + np.uint64(1))
+    heads = [shared.mix(shared.WORDS.between(sums, a, np.minimum(b, a + k)) + np.uint64(k)) for k in PREFIXES]
     known, lang = _function_words()
     at = np.searchsorted(known, full)
     at[at == len(known)] = 0
@@ -65,7 +67,7 @@ def word_ids(lower: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     np.add.at(votes, (np.searchsorted(first, hit, "right") - 1, lang[at[hit]]), 1)
     told = np.where(votes.max(1, initial=0) > 0, votes.argmax(1) if n else 0, -1)
     top = np.uint64(64 - BUCKETS.bit_length() + 1)
-    return (full >> top).astype(np.int32), (head >> top).astype(np.int32), first, told
+    return np.stack([(h >> top).astype(np.int32) for h in (full, *heads)]), first, told
 
 
 _known: tuple[np.ndarray, np.ndarray] | None = None
@@ -82,10 +84,12 @@ def _function_words() -> tuple[np.ndarray, np.ndarray]:
     return _known
 
 
-def forward(m: Model, full: np.ndarray, head: np.ndarray, first: np.ndarray, keep: bool = False):
+def forward(m: Model, ids: np.ndarray, first: np.ndarray, keep: bool = False):
     """Pooled filters of each text; with `keep` also the word vectors and where each maximum is."""
     n = len(first) - 1
-    x = m.embed[full] + m.embed[head]
+    x = m.embed[ids[0]]
+    for row in ids[1:]:
+        x += m.embed[row]
     pooled = np.zeros((n, FILTERS * len(WIDTHS)), np.float32)
     where = np.zeros((n, FILTERS * len(WIDTHS)), np.int64)
     full_rows = np.flatnonzero(np.diff(first) > 0)
@@ -107,8 +111,8 @@ def forward(m: Model, full: np.ndarray, head: np.ndarray, first: np.ndarray, kee
     return (pooled, x, where, left if len(full_rows) else None) if keep else pooled
 
 
-def logits(m: Model, full: np.ndarray, head: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return forward(m, full, head, first) @ m.out + m.shift
+def logits(m: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return forward(m, ids, first) @ m.out + m.shift
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 9, epochs: int = 14, batch: int = 48, rate: float = 0.01) -> Model:
@@ -140,9 +144,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 9, epochs: int = 14,
     for _ in range(epochs):
         for rows in np.array_split(rng.permutation(learn), max(1, len(learn) // batch)):
             state["t"] += 1
-            full, head = (np.concatenate([docs[r][i] for r in rows]) for i in (0, 1))
-            first = np.concatenate([[0], np.cumsum([len(docs[r][0]) for r in rows])])
-            pooled, x, where, left = forward(m, full, head, first, keep=True)
+            buckets = np.concatenate([docs[r][0] for r in rows], axis=1)
+            first = np.concatenate([[0], np.cumsum([docs[r][0].shape[1] for r in rows])])
+            pooled, x, where, left = forward(m, buckets, first, keep=True)
             p = 1 / (1 + np.exp(-np.clip(pooled @ m.out + shift[0], -30, 30)))
             g = ((p - labels[rows]) * weight[rows] / len(rows)).astype(np.float32)
             up = g[:, None] * m.out[None, :] * (pooled > 0)
@@ -162,10 +166,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 9, epochs: int = 14,
                         parts.append(gg[:, None] * m.filters[k][j * DIM : (j + 1) * DIM, c][None, :])
                 grad_x[k] = gf
             pos, gx = np.concatenate(touched), np.concatenate(parts)
-            ids = np.concatenate([full[pos], head[pos]])
-            uniq, inv = np.unique(ids, return_inverse=True)
+            uniq, inv = np.unique(buckets[:, pos].reshape(-1), return_inverse=True)
             ge = np.zeros((len(uniq), DIM), np.float32)
-            np.add.at(ge, inv, np.concatenate([gx, gx]))
+            np.add.at(ge, inv, np.tile(gx, (len(buckets), 1)))
             for k in range(len(WIDTHS)):
                 adam(f"f{k}", m.filters[k], grad_x[k] + 1e-4 * m.filters[k])
             adam("bias", m.bias, up.sum(0))
@@ -175,8 +178,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 9, epochs: int = 14,
                 adam("embed", m.embed, ge, uniq)
     m.shift = float(shift[0])
     rows = np.flatnonzero(aside) if aside.any() and labels[aside].min() != labels[aside].max() else np.arange(len(labels))
-    z = np.array([float(logits(m, *docs[r][:3])[0]) for r in rows])
-    told = np.array([docs[r][3][0] for r in rows])
+    z = np.array([float(logits(m, *docs[r][:2])[0]) for r in rows])
+    told = np.array([docs[r][2][0] for r in rows])
     m.thresholds[""] = best_threshold(z, labels[rows])
     for i, name in enumerate(LANGUAGES):
         own = told == i
@@ -188,11 +191,11 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 9, epochs: int = 14,
 
 
 def best_threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the widest stretch of logits at which most rows, classes weighing evenly, are told rightly."""
+    """The middle of the widest stretch of logits at which most rows are told rightly; class 0, the commoner one outside a sample, weighs double."""
     order = np.argsort(z)
     z, y = z[order], y[order]
     pos, neg = max(1, (y == 1).sum()), max(1, (y == 0).sum())
-    right = np.concatenate([[1.0], 1 - np.cumsum(y == 1) / pos]) + np.concatenate([[0.0], np.cumsum(y == 0) / neg])
+    right = np.concatenate([[1.0], 1 - np.cumsum(y == 1) / pos]) + np.concatenate([[0.0], 2 * np.cumsum(y == 0) / neg])
     edges = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
     best = np.flatnonzero(right >= right.max() - 1e-9)
     widest = max(best, key=lambda i: edges[i + 1] - edges[i])
@@ -207,8 +210,8 @@ def score_texts(m: Model, column: pa.Array) -> np.ndarray:
     _, offs = shared.text_buffer(lower)
     out = []
     for i, j in shared.slices(offs):
-        full, head, first, told = word_ids(lower.slice(i, j - i))
-        out.append(logits(m, full, head, first) - cut[told])
+        ids, first, told = word_ids(lower.slice(i, j - i))
+        out.append(logits(m, ids, first) - cut[told])
     z = np.concatenate(out) if out else np.zeros(0)
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -35, 35)))
 
