@@ -32,7 +32,7 @@ from doppel.llm.components import components
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 18, 6
 HASHES = BANDS * ROWS
-IDF_BUCKETS, IDF_SPAN, IDF_STEPS = 1 << 16, 0.25, 10
+IDF_BUCKETS, IDF_SPAN, IDF_STEPS = 1 << 16, 0.1, 10
 SLOTS = 1 << 13
 LEADERS, BLOCK, PARTNERS = 2, 256, 8
 #: Samples alike from which on a pair of a block is verified: 1.8 standard deviations below the threshold.
