@@ -88,7 +88,7 @@ def retrieve(pairs: DataFrame, cps: DataFrame, cfg: DetectorConfig, graph: bool
     """Candidate rows like those of the exact retrievals."""
     limit = max(1, 2 * cfg.max_candidates_per_side) if cfg.max_candidates_per_side > 0 else 4096
     points = cps.select("victim", "recipient").distinct()
-    asked = pairs.select("victim", "lookalike").distinct().withColumn("block", F.pmod(F.xxhash64("lookalike"), F.lit(4)))
+    asked = pairs.select("victim", "lookalike").distinct().join(detect.protected(cps), "victim", "left_semi").withColumn("block", F.pmod(F.xxhash64("lookalike"), F.lit(4)))
     copies = points.withColumn("block", F.explode(F.array(*(F.lit(b).cast("long") for b in range(4)))))
     w = weights()
 

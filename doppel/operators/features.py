@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doppel.config import DetectorConfig
@@ -234,29 +234,35 @@ def formula_grid() -> list[Formula]:
     return [Formula(f"{a[0]}_a{a[1]:.2f}_g{a[2]:.1f}_b{b:.2f}_{m}_{'_'.join(map(str, w))}", a, b, w, m) for a in addrs for b in betas for m in ("none", "plain", "max", "product") for w in weights]
 
 
-def formula_score(f: Formula) -> Column:
+def formula_table(spark: SparkSession, formulas: list[Formula]) -> DataFrame:
+    """Formulas as rows: a few thousand at most, so they may be broadcast."""
+    rows = [(f.name, *f.addr, f.beta, *f.weights, f.time_mode) for f in formulas]
+    return spark.createDataFrame(rows, "name string, addr_mode string, alpha double, gamma double, beta double, w_type double, w_token double, w_value double, w_time double, time_mode string")
+
+
+def formula_score() -> Column:
+    """The score of a row that carries a formula's columns."""
     d = derived()
     low, high = d["both_addr"], d["either_addr"]
-    mode, alpha, gamma = f.addr
-    if mode == "balanced":
-        a = F.col("s_addr") * (alpha + (1 - alpha) * F.pow(d["balance_addr"], F.lit(gamma)))
-    elif mode == "harmonic":
-        a = F.when(low + high > 0, 2 * low * high / (low + high)).otherwise(0.0)
-    else:
-        a = low if mode == "min" else F.col("s_addr")
+    mode = F.col("addr_mode")
+    a = (
+        F.when(mode == "balanced", F.col("s_addr") * (F.col("alpha") + (1 - F.col("alpha")) * F.pow(d["balance_addr"], F.col("gamma"))))
+        .when(mode == "harmonic", F.when(low + high > 0, 2 * low * high / (low + high)).otherwise(0.0)).when(mode == "min", low).otherwise(F.col("s_addr"))
+    )
     t, k, v, time = (F.col(f"s_{c}") for c in ("type", "token", "value", "time"))
-    time = {"none": F.lit(0.0), "plain": time, "max": time * F.greatest(t, k), "product": time * t * k}[f.time_mode]
-    w = f.weights
-    total = sum(w[:3]) + (w[3] if f.time_mode != "none" else 0.0)
-    context = (w[0] * t + w[1] * k + w[2] * v + w[3] * time) / total
-    return _clip(a * (f.beta + (1 - f.beta) * context))
-
-
-def search_formulas(rows: DataFrame, formulas: list[Formula], bins: int = 201, block: int = 64) -> DataFrame:
-    """The best threshold of every formula, in blocks of `block` formulas a pass."""
-    out = None
-    for i in range(0, len(formulas), block):
-        scores = {f.name: formula_score(f) for f in formulas[i : i + block]}
-        got = best_of_curve(threshold_curve(histogram(long_scores(rows, scores, "label"), bins, "name"), bins, "name"), "name")
-        out = got if out is None else out.unionByName(got)
-    return out
+    use = F.col("time_mode")
+    time = F.when(use == "none", 0.0).when(use == "plain", time).when(use == "max", time * F.greatest(t, k)).otherwise(time * t * k)
+    total = F.col("w_type") + F.col("w_token") + F.col("w_value") + F.when(use == "none", 0.0).otherwise(F.col("w_time"))
+    context = (F.col("w_type") * t + F.col("w_token") * k + F.col("w_value") * v + F.col("w_time") * time) / total
+    return _clip(a * (F.col("beta") + (1 - F.col("beta")) * context))
+
+
+def formula_scores(rows: DataFrame, formulas: list[Formula]) -> DataFrame:
+    """(name, label, score) of every row under every formula: the rows, spread evenly, meet a broadcast table of fixed size."""
+    rows = rows.repartition("event_id")
+    return rows.crossJoin(F.broadcast(formula_table(rows.sparkSession, formulas))).select("name", "label", formula_score().alias("score"))
+
+
+def search_formulas(rows: DataFrame, formulas: list[Formula], bins: int = 201) -> DataFrame:
+    """The best threshold of every formula; histograms are summed map-side, formulas x bins rows at most are shuffled by a task."""
+    return best_of_curve(threshold_curve(histogram(formula_scores(rows, formulas), bins, "name"), bins, "name"), "name")

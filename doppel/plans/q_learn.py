@@ -66,12 +66,22 @@ def f43(spark, sf):
     return features.long_scores(feature_rows(spark, sf), {n: known[n] for n in FAMILY}, "event_id").withColumn("score", F.round("score", 9))
 
 
-@query("f44_formula_scores")
+FORMULAS = """SELECT addr_mode || printf('_a%.2f_g%.1f_b%.2f_', alpha, gamma, beta) || time_mode || '_' || w_name AS name, * FROM
+  (VALUES ('sum', 1.0::DOUBLE, 1.0::DOUBLE), ('balanced', 0.75, 1.0), ('balanced', 0.5, 1.0), ('balanced', 0.5, 2.0), ('harmonic', 1.0, 1.0), ('min', 1.0, 1.0)) a(addr_mode, alpha, gamma),
+  (SELECT unnest([0.30::DOUBLE, 0.40, 0.50, 0.60, 0.70, 0.80, 0.90, 0.95]) beta), (SELECT unnest(['none', 'plain', 'max', 'product']) time_mode), (VALUES WEIGHTS) w(w_name, w_type, w_token, w_value, w_time)"""
+WEIGHTS = ", ".join(f"('{'_'.join(map(str, w))}', {', '.join(f'{x}::DOUBLE' for x in w)})" for w in dict.fromkeys(f.weights for f in features.formula_grid()))
+FSCORE = """SELECT name, label, greatest(0.0, least(1.0, CASE addr_mode WHEN 'balanced' THEN s_addr * (alpha + (1 - alpha) * pow(balance_addr, gamma)) WHEN 'harmonic' THEN CASE WHEN both_addr + either_addr > 0 THEN 2 * both_addr * either_addr / (both_addr + either_addr) ELSE 0.0 END WHEN 'min' THEN both_addr ELSE s_addr END
+  * (beta + (1 - beta) * ((w_type * s_type + w_token * s_token + w_value * s_value + w_time * CASE time_mode WHEN 'none' THEN 0.0 WHEN 'plain' THEN s_time WHEN 'max' THEN s_time * greatest(s_type, s_token) ELSE s_time * s_type * s_token END) / (w_type + w_token + w_value + CASE WHEN time_mode = 'none' THEN 0.0 ELSE w_time END))))) score FROM dval, formulas"""
+
+
+def validation_rows(spark, sf):
+    return features.with_splits(feature_rows(spark, sf)).filter("split_victim = 'val'")
+
+
+@query("f44_formula_scores", sql("SELECT name, label, count(*) n, round(avg(score), 9) mean_score FROM fscore GROUP BY name, label", *NEED, **FEATS, derived=DERIVED, dval="SELECT * FROM derived WHERE CAST(CAST('0x' || left(sha256(victim), 16) AS UBIGINT) % 100 AS INT) BETWEEN 70 AND 84", formulas=FORMULAS.replace("WEIGHTS", WEIGHTS), fscore=FSCORE))
 def f44(spark, sf):
-    """Mean score of every 97th formula of the grid, by label."""
-    rows = feature_rows(spark, sf).filter("found_candidate = 1")
-    formulas = features.formula_grid()[::97]
-    return features.long_scores(rows, {f.name: features.formula_score(f) for f in formulas}, "label").groupBy("name", "label").agg(F.avg("score").alias("mean_score"))
+    """The mean score of each of the 3264 formulas over the validation split, by label."""
+    return features.formula_scores(validation_rows(spark, sf), features.formula_grid()).groupBy("name", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 9).alias("mean_score"))
 
 
 HIST = "SELECT name, label, least(100, greatest(0, CAST(floor(score * 100 + 1e-9) AS INTEGER))) bin FROM named"
@@ -143,8 +153,8 @@ def ml4(spark, sf):
 
 @query("ml8_formula_search")
 def ml8(spark, sf):
-    """The best of every fiftieth formula of the grid."""
-    return features.search_formulas(feature_rows(spark, sf), features.formula_grid()[::50])
+    """The best threshold of each of the 3264 formulas on the validation split."""
+    return features.search_formulas(validation_rows(spark, sf), features.formula_grid())
 
 
 @query("ml11_published_coefficients", sql(f"SELECT count(*) n, round(avg({sp.logistic()}), 9) mean_score FROM feats", *NEED, **FEATS))
