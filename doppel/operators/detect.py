@@ -54,17 +54,21 @@ def matched(cfg: DetectorConfig) -> dict[str, Column]:
 
 
 def _sides(df: DataFrame, col: str, cfg: DetectorConfig, which: str) -> DataFrame:
-    keys = [F.struct(F.lit("p").alias("side"), address.prefix_key(col, cfg.dp).alias("key"))] * ("p" in which) + [F.struct(F.lit("s").alias("side"), address.suffix_key(col, cfg.ds).alias("key"))] * ("s" in which)
-    return df.withColumn("_k", F.explode(F.array(*keys))).select(*df.columns, "_k.*")
+    """Each row under the keys of its ends: a side, and one number for victim, side and end, cheap to shuffle and to sort."""
+    ends = [("p", address.prefix_key(col, cfg.dp))] * ("p" in which) + [("s", address.suffix_key(col, cfg.ds))] * ("s" in which)
+    keys = F.array(*(F.struct(F.lit(side).alias("side"), F.xxhash64("victim", F.lit(side), end).alias("key")) for side, end in ends))
+    return df.withColumn("_k", F.explode(keys)).select(*df.columns, "_k.*")
 
 
 def by_posting_list(pairs: DataFrame, cps: DataFrame, cfg: DetectorConfig, which: str = "ps") -> DataFrame:
-    """Pairs and histories that share the first dp digits ('p') or the last ds ('s'), each once."""
-    got = _sides(pairs, "lookalike", cfg, which).join(_sides(cps, "recipient", cfg, which), ["victim", "side", "key"]).withColumns(matched(cfg))
-    once = (F.col("side") == "p") | (F.col("ap") < cfg.dp) if which == "ps" else F.lit(True)
-    return got.filter(once).drop("side", "key").withColumns({"in_p": F.col("ap") >= cfg.dp, "in_s": F.col("as_") >= cfg.ds})
-
-
+    """Pairs and histories that share the first dp digits ('p') or the last ds ('s'), each once. What only shares a number is told by victim and digits."""
+    right = _sides(cps, "recipient", cfg, which).withColumnsRenamed({"victim": "_victim", "side": "_side"})
+    same_p = address.prefix_key("lookalike", cfg.dp) == address.prefix_key("recipient", cfg.dp)
+    same_s = address.suffix_key("lookalike", cfg.ds) == address.suffix_key("recipient", cfg.ds)
+    told = (F.col("victim") == F.col("_victim")) & (F.col("side") == F.col("_side"))
+    once = F.when(F.col("side") == "p", same_p).otherwise(same_s & ~same_p if which == "ps" else same_s)
+    got = _sides(pairs, "lookalike", cfg, which).join(right, "key").filter(told & once).drop("side", "_side", "_victim", "key")
+    return got.withColumns(matched(cfg)).withColumns({"in_p": same_p, "in_s": same_s})
 
 
 def by_deepest_node(pairs: DataFrame, cps: DataFrame, cfg: DetectorConfig) -> DataFrame:
