@@ -17,14 +17,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels")
     model = quality.fit(spark, docs, labels.filter(_remainder(4) != 2))
     scored = quality.score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels")
     model = toxicity.fit(spark, docs, labels.filter(_remainder(5) != 0))
     scored = toxicity.score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
