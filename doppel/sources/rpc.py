@@ -155,3 +155,68 @@ class BlockSource(DataSource):
 
     def simpleStreamReader(self, schema) -> BlockStream:
         return BlockStream(self.options)
+
+
+# ---------------------------------------------------------------- look-ups by key, dealt to the executors
+
+#: Selectors of decimals(), symbol() and name(), and the topic of a token transfer.
+SELECTORS = {"decimals": "0x313ce567", "symbol": "0x95d89b41", "name": "0x06fdde03"}
+TRANSFER_TOPIC = "0xddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523b3ef"
+LOOKUP_BATCH = 50
+
+
+def _lookup(df, column: str, requests: Callable[[str], list[tuple[str, list]]], options: dict, schema: str, row: Callable[[str, list], list[tuple]]):
+    """Answers for each distinct value of a column: a few requests a value, LOOKUP_BATCH values a call."""
+    import pandas as pd
+
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(frames: Iterator) -> Iterator:
+        send = recorded(options["file"]) if "file" in options else None
+        for frame in frames:
+            keys = frame[column].tolist()
+            for i in range(0, len(keys), LOOKUP_BATCH):
+                part = keys[i : i + LOOKUP_BATCH]
+                asked = [requests(k) for k in part]
+                answers = iter(call(options.get("url", ""), [r for a in asked for r in a], options.get("key"), send))
+                rows = [x for k, a in zip(part, asked, strict=True) for x in row(k, [next(answers) for _ in a])]
+                yield pd.DataFrame(rows, columns=names)
+
+    return df.select(column).distinct().mapInPandas(run, schema)
+
+
+def _text(answer: str | None) -> str:
+    raw = bytes.fromhex((answer or "0x")[2:])
+    if len(raw) > 64:
+        size = int.from_bytes(raw[32:64], "big")
+        raw = raw[64 : 64 + size]
+    return raw.rstrip(b"\0").decode("utf-8", "ignore")
+
+
+def token_metadata(tokens, options: dict, column: str = "address"):
+    """(address, decimals, symbol, name, metadata_missing) of token contracts; what fails has 18 decimals and no names."""
+
+    def row(token: str, answers: list) -> list[tuple]:
+        decimals, symbol, name = answers
+        if decimals is None:
+            return [(token, 18, "", "", True)]
+        return [(token, int(decimals, 16), _text(symbol), _text(name), False)]
+
+    def requests(token: str) -> list[tuple[str, list]]:
+        return [("eth_call", [{"to": token, "data": data}, "latest"]) for data in SELECTORS.values()]
+
+    return _lookup(tokens, column, requests, options, "address string, decimals int, symbol string, name string, metadata_missing boolean", row)
+
+
+def transfer_logs(victims, start: int, end: int, options: dict, column: str = "victim"):
+    """(victim, tx_hash, token, other, amount_hex, block_number) of transfers from and to each victim (40 digits) in a range of blocks."""
+    topic = lambda v: "0x" + v.rjust(64, "0")
+    span = {"fromBlock": hex(start), "toBlock": hex(end)}
+
+    def requests(victim: str) -> list[tuple[str, list]]:
+        return [("eth_getLogs", [span | {"topics": [TRANSFER_TOPIC, topic(victim)]}]), ("eth_getLogs", [span | {"topics": [TRANSFER_TOPIC, None, topic(victim)]}])]
+
+    def row(victim: str, answers: list) -> list[tuple]:
+        return [(victim, x["transactionHash"], x["address"], x["topics"][2 - side][-40:], x["data"], int(x["blockNumber"], 16)) for side, logs in enumerate(answers) for x in logs or []]
+
+    return _lookup(victims, column, requests, options, "victim string, tx_hash string, token string, other string, amount_hex string, block_number long", row)
