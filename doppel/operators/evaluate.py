@@ -38,18 +38,20 @@ def quality() -> dict[str, Column]:
     return {"precision": p, "recall": r, "f1": safe_div(2 * p * r, p + r)}
 
 
-def outcomes(events: DataFrame, found: DataFrame, alerts: DataFrame, performance: DataFrame, confirmed: bool = False) -> DataFrame:
-    """One row for each event: day, label, seen, alerts, candidates, perf rows, latency sum. `events` have a day."""
+def outcomes(events: DataFrame, cps: DataFrame, found: DataFrame, alert: Column, alert_at: str, confirmed: bool = False) -> DataFrame:
+    """One row for each event: day, label, seen, alerts, candidates, perf rows, latency sum. `events` have a day.
+
+    `found` is read once: alerts and scored histories are counted together for each protected end of an event."""
     seen = F.lit(True) if confirmed else F.coalesce(F.col("visible"), F.lit(True))
-    late = F.sum((F.unix_micros("observed_at") - F.unix_micros("_observed")) / 1000.0)
-    a = alerts.join(events.select("event_id", F.col("observed_at").alias("_observed")), "event_id").groupBy("event_id").agg(F.count(F.lit(1)).alias("n_alerts"), late.alias("latency"))
-    p = performance.groupBy("event_id").agg(F.sum("candidates").alias("n_candidates"), F.count(F.lit(1)).alias("n_perf"))
-    rows = events.select("event_id", "hash", "day", F.coalesce("is_poisoning", F.lit(False)).alias("label"), seen.alias("seen"), "observed_at")
-    rows = rows.join(a, "event_id", "left").join(p, "event_id", "left")
-    for c in ("n_alerts", "latency", "n_candidates", "n_perf"):
-        zero = F.lit(0.0) if c == "latency" else F.lit(0)
-        rows = rows.withColumn(c, F.when(F.col("seen"), F.coalesce(c, zero)).otherwise(zero))
-    return rows
+    late = (F.unix_micros(alert_at) - F.unix_micros("observed_at")) / 1000.0
+    ends = found.groupBy("event_id", "victim", "lookalike").agg(F.sum("n_scored").alias("n"), F.count_if(alert).alias("a"), F.sum(F.when(alert, late)).alias("l"))
+    pairs = detect.pair_victims(events.filter(seen)).join(detect.protected(cps), "victim", "left_semi").select("event_id", "victim", "lookalike")
+    got = pairs.join(ends, ["event_id", "victim", "lookalike"], "left").groupBy("event_id").agg(
+        F.sum(F.coalesce("n", F.lit(0))).alias("n_candidates"), F.count(F.lit(1)).alias("n_perf"), F.sum(F.coalesce("a", F.lit(0))).alias("n_alerts"), F.sum(F.coalesce("l", F.lit(0.0))).alias("latency")
+    )
+    rows = events.select("event_id", "hash", "day", F.coalesce("is_poisoning", F.lit(False)).alias("label"), seen.alias("seen"), "observed_at").join(got, "event_id", "left")
+    zero = {"n_candidates": F.lit(0), "n_perf": F.lit(0), "n_alerts": F.lit(0), "latency": F.lit(0.0)}
+    return rows.withColumns({c: F.coalesce(c, z) for c, z in zero.items()})
 
 
 def event_measures() -> dict[str, Column]:
@@ -73,18 +75,21 @@ def evaluate(events: DataFrame, cps: DataFrame, metadata: DataFrame, cfg: Detect
     events = event_day(events, boundaries)
     shown = events if confirmed else detect.visible(events)
     found = detect.recipients(shown, cps, metadata, cfg, method)
-    alerts = found.filter(F.col("total").isNotNull()).withColumn("observed_at", F.col("block_time")) if confirmed else found.filter(F.col("total") >= cfg.tau)
-    return outcomes(events, found, alerts, detect.performance(shown, cps, found), confirmed)
+    alert = F.col("total").isNotNull() if confirmed else F.col("total") >= cfg.tau
+    return outcomes(events, cps, found, alert, "block_time" if confirmed else "observed_at", confirmed)
 
 
 def method_metrics(events: DataFrame, cps: DataFrame, metadata: DataFrame, cfg: DetectorConfig, method: str = "trie_union") -> DataFrame:
     """One row of metrics: confusion by transaction, the rest by event or alert."""
     rows = evaluate(events, cps, metadata, cfg, method)
-    by_tx = transactions(rows).agg(*(F.count_if(c).alias(n) for n, c in confusion(F.col("pred"), F.col("label")).items()))
-    by_event = rows.agg(*(c.alias(n) for n, c in event_measures().items()), F.countDistinct("day").alias("days"))
+    # transactions first, carrying their events' measures: the outcomes are computed once
+    measures = event_measures()
+    tx = rows.groupBy("hash").agg(F.bool_or("label").alias("label"), F.bool_or(F.col("n_alerts") > 0).alias("pred"), *(c.alias(n) for n, c in measures.items()))
+    by_tx = tx.agg(*(F.count_if(c).alias(n) for n, c in confusion(F.col("pred"), F.col("label")).items()), *(F.sum(n).alias(n) for n in measures))
+    days = event_day(events).agg(F.countDistinct("day").alias("days"))
     ends = events.select(F.explode(F.array(address.normalize_address("from_addr"), address.normalize_address("to_addr"))).alias("a")).agg(F.countDistinct("a").alias("accounts"))
     victims = cps.agg(F.countDistinct("victim").alias("protected_victims"), F.count(F.lit(1)).alias("n_cps"))
-    one = by_tx.crossJoin(by_event).crossJoin(ends).crossJoin(victims)  # four rows of one
+    one = by_tx.crossJoin(days).crossJoin(ends).crossJoin(victims)  # four rows of one
     at_least = lambda c: F.greatest(F.lit(1), F.col(c))
     return one.withColumns(quality()).select(
         F.lit(method).alias("method"), "tp", "fp", "fn", "tn", "precision", "recall", "f1", (F.col("false_alerts") / (at_least("accounts") * at_least("days"))).alias("false_alerts_per_account_day"),
