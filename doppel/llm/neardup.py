@@ -7,9 +7,9 @@ The span is small so that the weighted similarity stays close to the plain one.
 
 Equal texts are one node throughout. Each node gets HASHES samples (the least of a consistent weighted hash over its
 shingles), BANDS of ROWS. A bucket of a band isn't expanded into pairs: its members are verified against its LEADERS most
-central nodes. Members that the first leader doesn't take are compared with the rest of the bucket by their samples, in
-blocks of BLOCK members, and the likeliest partners of each are verified too. Links are pairs of similarity >= threshold
-by the exact weights; classes are their connected components.
+central nodes. Members that the first leader doesn't take are verified against the rest of the bucket, in blocks of BLOCK
+members, but for pairs already connected. Links are pairs of similarity >= threshold by the exact weights; classes are
+their connected components.
 
 Defined results: every row gets a class id, the least document id of the class (null if all ids are null). Null and empty
 texts, and texts without a word, are classes of their own rows (class id = own id). Repeated rows and rows with equal texts
@@ -34,9 +34,7 @@ BANDS, ROWS = 18, 6
 HASHES = BANDS * ROWS
 IDF_BUCKETS, IDF_SPAN, IDF_STEPS = 1 << 16, 0.1, 10
 SLOTS = 1 << 13
-LEADERS, BLOCK, PARTNERS = 2, 256, 8
-#: Samples alike from which on a pair of a block is verified: 1.8 standard deviations below the threshold.
-LIKELY = 0.73
+LEADERS, BLOCK = 2, 256
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -220,6 +218,44 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
     return both.mapInArrow(shared.trimmed(run), "a long, b long, sim double")
 
 
+def compared(group: pa.Table, table: np.ndarray, threshold: float) -> pa.Table:
+    """Links between the `left` and the `right` members of a task, by the exact weights. Members that are known to be connected
+    (by `root`, or by the links found on the way) aren't compared: a link between them joins nothing."""
+    group = group.sort_by("node")
+    node, left, right = (group[c].to_numpy(zero_copy_only=False) for c in ("node", "left", "right"))
+    part = np.unique(group["root"].to_numpy(), return_inverse=True)[1]
+    lower = pc.utf8_lower(group["text"].combine_chunks())
+    _, offs = shared.text_buffer(lower)
+    got = [shingles(lower.slice(i, j - i)) for i, j in shared.slices(offs)]
+    h, w = np.concatenate([g[0] for g in got]), np.concatenate([weights(g[0], g[1], table) for g in got])
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(g[2]) for g in got]))])
+    total = np.add.reduceat(w, first[:-1])
+    ys = np.flatnonzero(right)
+    of_right = np.repeat(right, np.diff(first))
+    known, place = np.unique(h[of_right], return_inverse=True)
+    w_right, start = w[of_right], np.concatenate([[0], np.cumsum(np.diff(first)[ys])])[:-1]
+    dense, a, b, sims = np.zeros(len(known)), [], [], []
+    for x in np.flatnonzero(left):
+        apart = part[ys] != part[x]
+        if not apart.any():
+            continue
+        mine = h[first[x] : first[x + 1]]
+        at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+        hit = known[at] == mine
+        dense[at[hit]] = w[first[x] : first[x + 1]][hit]
+        inter = np.add.reduceat(np.minimum(dense[place], w_right), start)
+        dense[at[hit]] = 0
+        sim = inter / (total[x] + total[ys] - inter)
+        near = np.flatnonzero(apart & (sim >= threshold))
+        if len(near):
+            a.append(np.full(len(near), node[x]))
+            b.append(node[ys[near]])
+            sims.append(sim[near])
+            part[np.isin(part, part[ys[near]])] = part[x]
+    a, b, sims = (np.concatenate(z) if z else np.zeros(0, kind) for z, kind in ((a, np.int64), (b, np.int64), (sims, float)))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array(sims, pa.float64())})
+
+
 def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, sim) between nodes, and (id, node) of every document."""
     spark = docs.sparkSession
@@ -247,31 +283,12 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
     found = shared.cut(verified(pairs, texts, idf, threshold), "found")
     # what the first leader of a bucket didn't take, against the rest of the bucket; of buckets beyond BLOCK, their own rest
     taken = found.select(F.col("a").alias("node"), F.col("b").alias("l1"), F.lit(True).alias("taken"))
-    state = led.join(taken, ["node", "l1"], "left").withColumn("free", F.col("taken").isNull() & (F.col("node") != F.col("l1"))).select("key", "node", "n", "free")
-    state = shared.cut(state.filter("free or n <= %d" % BLOCK), "state")
+    state = led.join(taken, ["node", "l1"], "left").withColumn("free", F.col("taken").isNull() & (F.col("node") != F.col("l1")))
+    state = shared.cut(state.filter("free or n <= %d" % BLOCK).select("key", "node", "n", "free", F.when(F.col("free"), F.col("node")).otherwise(F.col("l1")).alias("root")), "state")
     open_keys = state.filter("free").select("key").distinct()
     block = F.when(F.col("n") <= BLOCK, 0).otherwise(F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / BLOCK)))
-    work = state.join(open_keys, "key", "left_semi").select(F.xxhash64("key", block).alias("task"), "node", "free").join(nodes.select("node", "samples"), "node")
-
-    def likely(group: pa.Table) -> pa.Table:
-        node, free = group["node"].to_numpy(), group["free"].to_numpy(zero_copy_only=False).astype(bool)
-        order = np.argsort(node)
-        node, free = node[order], free[order]
-        marks = np.frombuffer(b"".join(group["samples"].to_pylist()), np.uint16).reshape(len(node), HASHES)[order]
-        a, b = [], []
-        for x in np.flatnonzero(free):
-            alike = (marks == marks[x]).mean(axis=1)
-            alike[x] = 0
-            alike[: x + 1][free[: x + 1]] = 0  # taken up from the other side
-            best = np.argsort(-alike, kind="stable")[:PARTNERS]
-            best = best[alike[best] >= LIKELY]
-            a.append(np.full(len(best), node[x]))
-            b.append(node[best])
-        a, b = (np.concatenate(y) if y else np.zeros(0, np.int64) for y in (a, b))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    more = work.groupBy("task").applyInArrow(likely, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = shared.cut(verified(shared.cut(more, "more"), texts, idf, threshold), "found")
+    work = state.join(open_keys, "key", "left_semi").select(F.xxhash64("key", block).alias("task"), "node", "root", F.lit(True).alias("left"), F.lit(True).alias("right")).join(texts, "node")
+    more = shared.cut(work.groupBy("task").applyInArrow(lambda group: compared(group, idf.value, threshold), "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim")), "found")
     return found.unionByName(more), rows.select("id", "node")
 
 

@@ -126,6 +126,60 @@ def test_deduplicated_keeps_one_of_each_class(spark):
     assert neardup.deduplicated(docs.limit(0)).count() == 0
 
 
+def family(n, seed):
+    """A form letter in n versions of some 0.77 alike; each two share four changes more, which makes them 0.82 alike."""
+    rng = np.random.default_rng(seed)
+    words, texts = sentence(rng, 1200).split(), []
+    for k in range(0, n, 2):
+        own = rng.choice(240, 28, replace=False) * 5
+        for half in (own[:16], np.concatenate([own[:4], own[16:]])):
+            w = list(words)
+            for at in half:
+                w[at] = f"new{k}x{at}" if at in own[:4] else f"own{len(texts)}x{at}"
+            texts.append(" ".join(w))
+    return texts
+
+
+def linked_in_buckets(spark, docs, texts):
+    """Pairs of row numbers that share a bucket and are similar, by brute force."""
+    table = neardup.idf_table(docs, "text")
+    bands = {r.id: r.bands for r in neardup.sketches(docs, spark.sparkContext.broadcast(table), "doc_id", "text").collect()}
+    bands = np.array([bands[i] for i in range(len(texts))])
+    h, tf, first = neardup.shingles(pa.array(texts))
+    w, (known, place) = neardup.weights(h, tf, table), np.unique(h, return_inverse=True)
+    total, out = np.add.reduceat(w, first[:-1]), []
+    for i in range(1, len(texts)):
+        mine = np.zeros(len(known))
+        mine[place[first[i] : first[i + 1]]] = w[first[i] : first[i + 1]]
+        inter = np.add.reduceat(np.minimum(mine[place[: first[i]]], w[: first[i]]), first[:i])
+        alike = (inter / (total[i] + total[:i] - inter) >= 0.8) & (bands[:i] == bands[i]).any(axis=1)
+        out += [(i, int(j)) for j in np.flatnonzero(alike)]
+    return out, max(np.unique(bands, return_counts=True)[1])
+
+
+def assert_classes_join(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, largest = linked_in_buckets(spark, docs, texts)
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    root = list(range(len(texts)))
+    for i, j in want:
+        while root[i] != i:
+            i = root[i]
+        while root[j] != j:
+            j = root[j]
+        root[max(i, j)] = min(i, j)
+    for i in range(len(texts)):
+        root[i] = root[root[i]]
+    lost = [(i, j) for i, j in want if got[i] != got[j]]
+    assert not lost, f"{len(lost)} of {len(want)} pairs in buckets of up to {largest}"
+    assert [got[i] for i in range(len(texts))] == root
+    return largest
+
+
+def test_true_partners_among_many_alike_are_found(spark):
+    assert 64 < assert_classes_join(spark, family(400, 21)) <= 256
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(8)
     words = sentence(rng, 400).split()
