@@ -7,8 +7,8 @@ The span is small so that the weighted similarity stays close to the plain one.
 
 Equal texts are one node throughout. Each node gets HASHES samples (the least of a consistent weighted hash over its
 shingles), BANDS of ROWS. A bucket of a band isn't expanded into pairs: its members are verified against its LEADERS most
-central nodes. Members that the first leader doesn't take are verified against the rest of the bucket, in blocks of BLOCK
-members, but for pairs already connected. Links are pairs of similarity >= threshold by the exact weights; classes are
+central nodes. Where that doesn't join the whole bucket, all its pairs of different components are verified too, in tasks of
+two blocks of at most about BLOCK members. Links are pairs of similarity >= threshold by the exact weights; classes are
 their connected components.
 
 Defined results: every row gets a class id, the least document id of the class (null if all ids are null). Null and empty
@@ -34,7 +34,9 @@ BANDS, ROWS = 18, 6
 HASHES = BANDS * ROWS
 IDF_BUCKETS, IDF_SPAN, IDF_STEPS = 1 << 16, 0.1, 10
 SLOTS = 1 << 13
-LEADERS, BLOCK = 2, 256
+LEADERS = 2
+#: Members and bytes of text of a block: a task compares two blocks.
+BLOCK, BLOCK_BYTES = 256, 4 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -278,17 +280,28 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(shared.whole_text(text_col)).alias("node"), shared.whole_text(text_col).alias("text"))
     t, i = texts.alias("t"), involved.alias("i")
     texts = t.join(i, (F.col("t.id").eqNullSafe(F.col("i.id"))) & (F.col("t.node") == F.col("i.node")), "left_semi")
-    texts = shared.cut(texts.select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = shared.cut(texts.dropDuplicates(["node"]).select("node", "text", F.octet_length("text").alias("size")), "texts")
     pairs = led.select(F.col("node").alias("a"), F.explode(F.array("l1", "l2")).alias("b")).filter("a <> b").distinct()
     found = shared.cut(verified(pairs, texts, idf, threshold), "found")
-    # what the first leader of a bucket didn't take, against the rest of the bucket; of buckets beyond BLOCK, their own rest
-    taken = found.select(F.col("a").alias("node"), F.col("b").alias("l1"), F.lit(True).alias("taken"))
-    state = led.join(taken, ["node", "l1"], "left").withColumn("free", F.col("taken").isNull() & (F.col("node") != F.col("l1")))
-    state = shared.cut(state.filter("free or n <= %d" % BLOCK).select("key", "node", "n", "free", F.when(F.col("free"), F.col("node")).otherwise(F.col("l1")).alias("root")), "state")
-    open_keys = state.filter("free").select("key").distinct()
-    block = F.when(F.col("n") <= BLOCK, 0).otherwise(F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / BLOCK)))
-    work = state.join(open_keys, "key", "left_semi").select(F.xxhash64("key", block).alias("task"), "node", "root", F.lit(True).alias("left"), F.lit(True).alias("right")).join(texts, "node")
-    more = shared.cut(work.groupBy("task").applyInArrow(lambda group: compared(group, idf.value, threshold), "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim")), "found")
+    # buckets that these links don't join: the members outside the first leader's component (the rest) against all others,
+    # block by block; every pair of two components is in a task
+    roots = components(found, "a", "b")
+    state = led.filter(F.col("n") > LEADERS + 1).join(roots, "node", "left").join(texts.select("node", "size"), "node")
+    state = shared.cut(state.select("key", "node", "l1", "size", F.coalesce("root", "node").alias("root")), "state")
+    main = state.filter("node = l1").select("key", F.col("root").alias("main"))
+    state = state.join(main, "key").select("key", "node", "size", "root", (F.col("root") != F.col("main")).alias("rest"))
+
+    def blocks(which):
+        return F.ceil(F.greatest(F.count(F.when(which, 1)) / BLOCK, F.coalesce(F.sum(F.when(which, F.col("size"))), F.lit(0)) / BLOCK_BYTES))
+
+    parts = state.groupBy("key").agg(blocks(F.col("rest")).alias("n_rest"), blocks(~F.col("rest")).alias("n_main")).filter("n_rest > 0")
+    dealt, place = state.join(parts, "key"), F.xxhash64("node", "key")
+    dealt = dealt.withColumn("block", F.when(F.col("rest"), F.pmod(place, "n_rest")).otherwise(F.col("n_rest") + F.pmod(place, F.greatest("n_main", F.lit(1)))))
+    others = F.sequence(F.lit(0).cast("long"), F.when(F.col("rest"), F.col("n_rest") + F.col("n_main")).otherwise(F.col("n_rest")) - 1)
+    work = dealt.join(texts.select("node", "text"), "node").select("key", "node", "root", "text", "block", F.explode(others).alias("other"))
+    work = work.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "root", "text", (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"))
+    more = work.groupBy("key", "lo", "hi").applyInArrow(lambda group: compared(group, idf.value, threshold), "a long, b long, sim double")
+    more = shared.cut(more.groupBy("a", "b").agg(F.max("sim").alias("sim")), "found")
     return found.unionByName(more), rows.select("id", "node")
 
 

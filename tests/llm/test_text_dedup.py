@@ -180,6 +180,10 @@ def test_true_partners_among_many_alike_are_found(spark):
     assert 64 < assert_classes_join(spark, family(400, 21)) <= 256
 
 
+def test_buckets_beyond_a_block_are_compared_whole(spark):
+    assert assert_classes_join(spark, family(700, 22)) > neardup.BLOCK
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(8)
     words = sentence(rng, 400).split()
