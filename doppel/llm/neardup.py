@@ -152,7 +152,7 @@ def sampler(base: float) -> Sampler:
 
 
 def sketches(docs: DataFrame, idf, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, bands, samples): node is the hash of the text, null where it has no word; samples 16 bits each."""
+    """(id, node, bands): node is the hash of the text, null where it has no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
@@ -160,25 +160,20 @@ def sketches(docs: DataFrame, idf, id_col: str, text_col: str) -> DataFrame:
         for b in batches:
             lower = pc.utf8_lower(b.column(2))
             _, offs = shared.text_buffer(lower)
-            ok, bands, marks = [], [], []
+            ok, bands = [], []
             for i, j in shared.slices(offs):
                 h, tf, first = shingles(lower.slice(i, j - i))
                 some = np.flatnonzero(np.diff(first) > 0)
                 ok.append(np.isin(np.arange(j - i), some))
                 if len(some):
-                    got = s.samples(h, weights(h, tf, table), first[some])
-                    bands.append(_bands(got))
-                    marks.append((shared.mix(got) & np.uint64(0xFFFF)).astype(np.uint16))
+                    bands.append(_bands(s.samples(h, weights(h, tf, table), first[some])))
             ok = np.concatenate(ok) if ok else np.zeros(0, bool)
             bands = np.concatenate(bands) if bands else np.zeros((0, BANDS), np.int64)
-            marks = np.concatenate(marks) if marks else np.zeros((0, HASHES), np.uint16)
             node = pa.array(b.column(1).to_numpy(zero_copy_only=False), pa.int64(), mask=~ok)
-            offsets = np.concatenate([[0], np.cumsum(ok * (2 * HASHES))]).astype(np.int32)
-            samples = pa.Array.from_buffers(pa.binary(), len(ok), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(marks.tobytes())])
-            yield pa.RecordBatch.from_arrays([b.column(0), node, shared.list_column(bands.reshape(-1), ok * BANDS, pa.int64()), samples], names=["id", "node", "bands", "samples"])
+            yield pa.RecordBatch.from_arrays([b.column(0), node, shared.list_column(bands.reshape(-1), ok * BANDS, pa.int64())], names=["id", "node", "bands"])
 
     kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(shared.whole_text(text_col)).alias("node"), shared.whole_text(text_col).alias("_t")).mapInArrow(shared.trimmed(run), f"id {kind}, node long, bands array<long>, samples binary")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(shared.whole_text(text_col)).alias("node"), shared.whole_text(text_col).alias("_t")).mapInArrow(shared.trimmed(run), f"id {kind}, node long, bands array<long>")
 
 
 def _bands(samples: np.ndarray) -> np.ndarray:
@@ -263,7 +258,7 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(idf_table(docs, text_col))
     rows = shared.cut(sketches(docs, idf, id_col, text_col), "sketches")
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
     nodes = shared.cut(nodes, "nodes")
     member = nodes.select("node", F.explode("bands").alias("key"))
     sizes = shared.cut(member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")

@@ -184,6 +184,18 @@ def test_buckets_beyond_a_block_are_compared_whole(spark):
     assert assert_classes_join(spark, family(700, 22)) > neardup.BLOCK
 
 
+def test_similar_texts_of_unlike_samples_are_linked():
+    texts = family(400, 23)
+    idf = np.full(neardup.IDF_BUCKETS, 1 + neardup.IDF_SPAN, np.float32)
+    h, tf, first = neardup.shingles(pa.array(texts))
+    got = neardup.Sampler(1 + neardup.IDF_SPAN).samples(h, neardup.weights(h, tf, idf), first[:-1])
+    unlike = [i for i in range(0, 400, 2) if (got[i] == got[i + 1]).mean() < 0.73]
+    assert unlike
+    for i in unlike:
+        task = pa.table({"node": [i, i + 1], "root": [i, i + 1], "left": [True, True], "right": [True, True], "text": texts[i : i + 2]})
+        assert neardup.compared(task, idf, 0.8).num_rows == 1 and weighted(texts[i], texts[i + 1], idf) >= 0.8
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(8)
     words = sentence(rng, 400).split()
