@@ -301,7 +301,7 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, class_id, n_links, node) of every document; n_links counts the links of its text to other texts that were found."""
+    """(id, class_id, n_links, node) of every document; n_links counts the verified links of its text to other texts, a lower bound."""
     found, rows = links(docs, id_col=id_col, text_col=text_col, threshold=threshold)
     found = shared.cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar")
     roots = components(found, "a", "b")
