@@ -33,7 +33,7 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(shared.table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+    return neardup.classes(shared.table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

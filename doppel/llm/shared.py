@@ -47,7 +47,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def whole_text(name: str = "text"):
     """The text; null counts as empty."""
-    return F.coalesce(F.col(name), F.lit(""))
+    return F.coalesce(F.col(f"`{name}`"), F.lit(""))
+
+
+def fresh(name: str, taken) -> str:
+    """A column name like `name` that isn't taken."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 # ---------------------------------------------------------------- Arrow batches

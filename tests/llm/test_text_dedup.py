@@ -184,6 +184,13 @@ def test_buckets_beyond_a_block_are_compared_whole(spark):
     assert assert_classes_join(spark, family(700, 22)) > neardup.BLOCK
 
 
+def task(texts, roots=None, bands=None, band=0, left=None, right=None):
+    n = len(texts)
+    roots = [bytes([i // 256, i % 256]) for i in range(n)] if roots is None else roots
+    side = lambda x: [True] * n if x is None else x
+    return pa.table({"band": [band] * n, "root": pa.array(roots, pa.binary()), "left": side(left), "right": side(right), "bands": pa.array(bands or [[0, i] for i in range(n)], pa.list_(pa.int64())), "text": texts})
+
+
 def test_similar_texts_of_unlike_samples_are_linked():
     texts = family(400, 23)
     idf = np.full(neardup.IDF_BUCKETS, 1 + neardup.IDF_SPAN, np.float32)
@@ -192,8 +199,29 @@ def test_similar_texts_of_unlike_samples_are_linked():
     unlike = [i for i in range(0, 400, 2) if (got[i] == got[i + 1]).mean() < 0.73]
     assert unlike
     for i in unlike:
-        task = pa.table({"node": [i, i + 1], "root": [i, i + 1], "left": [True, True], "right": [True, True], "text": texts[i : i + 2]})
-        assert neardup.compared(task, idf, 0.8).num_rows == 1 and weighted(texts[i], texts[i + 1], idf) >= 0.8
+        assert neardup.compared(task(texts[i : i + 2]), idf, 0.8).num_rows == 1 and weighted(texts[i], texts[i + 1], idf) >= 0.8
+
+
+def test_estimates_equal_plain_weights():
+    rng = np.random.default_rng(3)
+    words = ["a", "b", "c"]
+    texts = [" ".join(rng.choice(words, rng.integers(5, 60))) for _ in range(30)] + [sentence(rng, 50)]
+    idf = (1 + rng.random(neardup.IDF_BUCKETS) * neardup.IDF_SPAN).astype(np.float32)
+    f = neardup.Features(pa.array(texts), idf)
+    left, right = np.arange(0, 20), np.arange(10, 31)
+    got = f.estimate(left, right, idf)
+    want = np.array([[weighted(texts[i], texts[j], idf) for j in right] for i in left])
+    assert np.abs(got - want).max() < 1e-5
+    assert np.abs(f.against(f.of(3), 10, 31) - want[3]).max() < 1e-12
+
+
+def test_a_pair_is_compared_in_its_first_band_only():
+    rng = np.random.default_rng(5)
+    text = sentence(rng, 60)
+    texts, idf = [text, text + " more"], np.ones(neardup.IDF_BUCKETS, np.float32)
+    assert neardup.compared(task(texts, bands=[[7, 1], [8, 1]], band=1), idf, 0.8).num_rows == 1
+    assert neardup.compared(task(texts, bands=[[7, 1], [7, 1]], band=1), idf, 0.8).num_rows == 0
+    assert neardup.compared(task(texts, roots=[b"x", b"x"]), idf, 0.8).num_rows == 0
 
 
 def test_samples_estimate_weighted_jaccard():
