@@ -112,6 +112,38 @@ def test_learning(spark):
     fitted, report = learn.calibrate(rows)
     assert report.first().f1 > 0.9 and len(fitted.coefficients) == 3
     assert len(features.VARIANTS) == 19 and len(features.named_scores()) == 34 and len(features.formula_grid()) == 3264
+    assert features.VARIANTS["full_hard_negative"][5:10] == ("balance_addr", "both_addr", "prefix_suffix_gap", "candidate_pressure", "s_addr_x_candidate_pressure")
+    assert features.VARIANTS["type_token_without_address"] == ("s_type", "s_token") and {"display_address_only", "display_no_type", "display_no_token"} <= set(features.VARIANTS)
+    grid = features.formula_grid()
+    assert grid[0].name == "gate_sum_a1.00_g1.0_b0.30_tmax_type_token_w0.35-0.35-0.15-0.15" and grid[-1].name == "gate_min_a1.00_g1.0_b0.95_traw_w0.50-0.30-0.00-0.20"
+    assert {f.time_mode for f in grid} == {"max_type_token", "avg_type_token", "token", "raw"} and all(abs(sum(f.weights) - 1) < 1e-9 for f in grid)
+
+
+def test_formula_search(spark):
+    rows = [(int(k % 2), float(min(6, k % 7)), float(min(6, k % 5)), k % 2 * 0.5 + k % 7 / 14, float(k % 3 == 0), float(k % 2), k % 10 / 10, k % 4 / 4, ("val", "test")[k // 2 % 2]) for k in range(400)]
+    data = spark.createDataFrame(rows, "label int, matched_prefix double, matched_suffix double, s_addr double, s_type double, s_token double, s_time double, s_value double, split_time string").withColumn("candidates_scored", F.lit(1))
+    table, apart, told = (x.collect() for x in features.search_formulas(data, bins=101, top=5, report=2))
+    assert len(table) == 3264 and len(apart) == 50 and len(told) == 20 and {r.ablation for r in told} == {r.ablation for r in apart} and len({r.ablation for r in apart}) == 10
+    # the best formula again, threshold by threshold
+    best = max(table, key=lambda r: (r.margin_vs_fair_ceiling, r.margin_vs_same_address, r.f1, -r.place))
+    f = features.formula_grid()[best.place]
+    val = [r for r in rows if r[-1] == "val"]
+
+    def score(r):
+        p, s = min(r[1], 6) / 6, min(r[2], 6) / 6
+        low, high = min(p, s), max(p, s)
+        a = {"sum": r[3], "balanced": r[3] * (f.alpha + (1 - f.alpha) * ((low / high) ** f.gamma if high else 0)), "harmonic": 2 * p * s / (p + s) if p + s else 0, "min": low}[f.addr_mode]
+        t = {"max_type_token": max(r[4], r[5]), "avg_type_token": (r[4] + r[5]) / 2, "token": r[5], "raw": 1}[f.time_mode]
+        context = (f.w_type * r[4] + f.w_token * r[5] + f.w_value * r[7] + f.w_time * r[6] * t) / sum(f.weights)
+        return round(a * (f.beta + (1 - f.beta) * context), 9)
+
+    def f1(tau):
+        tp, fp = sum(score(r) >= tau and r[0] for r in val), sum(score(r) >= tau and not r[0] for r in val)
+        fn = sum(r[0] for r in val) - tp
+        return 2 * tp / (2 * tp + fp + fn) if tp else 0.0
+
+    assert best.f1 == pytest.approx(max(f1(k / 100) for k in range(101))) and f1(best.tau) == pytest.approx(best.f1) and (best.tau == 0 or f1(best.tau - 0.01) < best.f1)
+    assert {r.place for r in told} <= {r.place for r in apart}
 
 
 def feed(spark, *rows):
