@@ -257,7 +257,7 @@ def edit_region(item: bytes, text: bytes) -> int:
 
 def test_decontamination_equals_brute_force(spark):
     rng = np.random.default_rng(6)
-    items = [sentence(rng, n) for n in (6, 9, 14)] + ["tiny", None, ""]
+    items = [sentence(rng, n) for n in (6, 9, 14)] + ["tiny", None, "", "!?"]
     items.append(items[1])
 
     def spoiled(t, k):
@@ -276,7 +276,7 @@ def test_decontamination_equals_brute_force(spark):
         want = []
         for k, b in enumerate(items):
             b = clean(b).strip()
-            if len(b) >= decontam.Q and edit_region(b, clean(t)) <= min(int(len(b) * 0.1), (len(b) - 8) // 8):
+            if b and (edit_region(b, clean(t)) <= int(len(b) * 0.1) if len(b) >= decontam.Q else b" " + b + b" " in b" " + clean(t) + b" "):
                 want.append(k)
         assert got[i] == want, (i, got[i], want)
     kept = decontam.contaminated(docs, bench, only_clean=True)
@@ -285,6 +285,49 @@ def test_decontamination_equals_brute_force(spark):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_have_their_whole_budget(spark):
+    rng = np.random.default_rng(16)
+    letters = list("abcdefgh ")
+    word = lambda n: "x" + "".join(rng.choice(letters, max(0, n - 2))) + "y" * (n > 1)
+    clean = lambda t: bytes(decontam.normalised(pa.array([(t or "").lower()]))[0])
+    items = [word(n) for n in range(1, 41)] + ["42 ok", "ü", "Ab", "ab"]
+    texts = ["the answer is 42 ok", "the answer is 42 okay", "142 ok", "42 ok, then", "ab-c", "grüß ü", "cab", "", None, "42\nOK"]
+    for t in items[:40]:
+        spoilt = list(t)
+        for at in rng.choice(len(t), len(t) // 10, replace=False):
+            spoilt[at] = "z"
+        texts += [f"{word(30)} {''.join(spoilt)} {word(9)}", f"{word(12)}{t[:-1]}q{word(3)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: sorted(r["items"]) for r in decontam.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        want = [k for k, b in enumerate(clean(x).strip() for x in items) if b and (edit_region(b, clean(t)) <= len(b) // 10 if len(b) >= 8 else b" " + b + b" " in b" " + clean(t) + b" ")]
+        assert got[i] == want, (i, t, [items[k] for k in set(got[i]) ^ set(want)])
+
+
+def test_decontamination_in_stretches(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    items = [sentence(rng, 12) for _ in range(4)] + ["42 ok"]
+    text = " ".join([sentence(rng, 60), items[0], sentence(rng, 90), items[2][:40] + "zz" + items[2][42:], sentence(rng, 30), "42 ok"])
+    items += [f"common beginning of the items {k} {sentence(rng, 4)}" for k in range(30)]
+    text += " common beginning of the items" * 9 + " " + items[30]
+    found = decontam.index(list(enumerate(items)), 0.1)
+    want = decontam.find(found, pa.array([text, None, items[1]]))
+    assert {0, 2, 4} <= set(want[0]) and 30 in want[0] and want[1:] == [[], [1]]
+    for stretch, hits in ((300, 1 << 21), (1 << 20, 500)):
+        monkeypatch.setattr(decontam, "STRETCH", stretch)
+        monkeypatch.setattr(decontam, "HITS", hits)
+        assert decontam.find(found, pa.array([text, None, items[1]])) == want
+
+
+def test_decontamination_columns(spark):
+    docs = spark.createDataFrame([(1, "abc the long benchmark item here", "x", "y", "z")], "doc_id long, text string, items string, _whole string, whole string")
+    got = decontam.contaminated(docs, spark.createDataFrame([("q", "the long benchmark item")], "item_id string, text string")).first()
+    assert got["items"] == ["q"] and (got["_whole"], got["whole"]) == ("y", "z")
+    assert decontam.contaminated(docs, spark.createDataFrame([("q", "an item that isn't there")], "item_id string, text string"), only_clean=True).first() == docs.first()
+    with pytest.raises(ValueError):
+        decontam.contaminated(docs, docs, item_id="doc_id", found_col="text")
+
+
 def test_decontamination_takes_large_benchmarks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 200)
     rng = np.random.default_rng(6)
