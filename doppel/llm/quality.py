@@ -1,12 +1,11 @@
 """Quality: a byte-level convolutional network in numpy.
 
-Filters of WIDTH bytes (over learned embeddings of bytes, those of a word that repeats the word before having their own)
-run over overlapping chunks that cover the whole text; each is max-pooled within its chunk, and the chunks' pooled values,
-by maximum and by mean, are combined into one probability. Filters find faults only (their weights are never positive), so
-that a short text isn't thought bad for holding little.
+Filters of WIDTH bytes over learned embeddings of bytes run over overlapping chunks that cover the whole text; each is
+max-pooled within its chunk, and the chunks' pooled values, by maximum and by mean, are combined into one probability.
 
 Defined results: null and empty texts get one and the same score, all pooled values being 0; repeated rows get equal
-scores; other columns are passed by; an empty table gives no rows. Without labels of both classes the score is constant.
+scores; other columns, of any name, are passed by, one of the score's name being replaced; an empty table gives no rows.
+Without labels of both classes the score is constant. Long texts are scored whole, 128 chunks at a time.
 """
 
 from __future__ import annotations
@@ -22,9 +21,7 @@ from pyspark.sql import functions as F
 from doppel.llm import shared
 from doppel.llm.toxicity import best_threshold, labelled_sample
 
-WIDTH, DIM, FILTERS = 6, 8, 16
-#: A byte, and the same byte within a word that repeats the one before.
-SYMBOLS = 512
+WIDTH, DIM, FILTERS = 6, 8, 24
 #: Chunks of so many window positions; the next starts STRIDE positions later.
 CHUNK, STRIDE = 256, 192
 #: At most so many labelled rows of each class are learnt from.
@@ -35,7 +32,7 @@ CUT = 0.7
 
 @dataclass
 class Model:
-    embed: np.ndarray  # (SYMBOLS, DIM)
+    embed: np.ndarray  # (256, DIM)
     filters: np.ndarray  # (WIDTH, DIM, FILTERS)
     bias: np.ndarray
     out: np.ndarray  # (2 * FILTERS)
@@ -47,19 +44,6 @@ class Model:
         return [(self.embed @ self.filters[j]).astype(np.float32) for j in range(WIDTH)]
 
 
-def symbols(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Bytes as numbers below SYMBOLS."""
-    sums, a, b, first = shared.words(raw, offs)
-    h = shared.WORDS.between(sums, a, b)
-    again = np.zeros(len(h), bool)
-    again[1:] = h[1:] == h[:-1]
-    again[first[:-1][first[:-1] < len(h)]] = False
-    step = np.zeros(len(raw) + 1, np.int16)
-    step[a[again]] += 1
-    step[b[again]] -= 1
-    return raw + np.cumsum(step[:-1], dtype=np.int16) * np.int16(256)
-
-
 def chunk_starts(offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and number of positions of each chunk, and the number of chunks of each text. A text shorter than a window has one position, the bytes beyond its end being 0."""
     size = np.diff(offs)
@@ -95,7 +79,6 @@ def combine(pooled: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def logits(m: Model, tables: list[np.ndarray], raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     starts, places, counts = chunk_starts(offs)
-    raw = symbols(raw, offs)
     pooled = np.zeros((len(starts), FILTERS), np.float32)
     reach = np.repeat(offs[1:], counts)
     for i in range(0, len(starts), 128):
@@ -108,10 +91,10 @@ def logits(m: Model, tables: list[np.ndarray], raw: np.ndarray, offs: np.ndarray
     return combine(pooled, counts) @ m.out + m.shift
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 1, epochs: int = 8, batch: int = 24, rate: float = 0.01) -> Model:
-    """Adam on the logistic loss with evenly weighted classes; the last quarter of the rows sets the threshold only."""
+def train(texts: list[str], labels: np.ndarray, seed: int = 1, epochs: int = 10, steps: int = 300, batch: int = 24, rate: float = 0.01) -> Model:
+    """Adam on the logistic loss with evenly weighted classes, `epochs` rounds or as many as take `steps` steps; a quarter of the rows sets the threshold only."""
     rng = np.random.default_rng(seed)
-    m = Model(rng.normal(0, 0.5, (SYMBOLS, DIM)).astype(np.float32), rng.normal(0, 0.3, (WIDTH, DIM, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), -np.abs(rng.normal(0, 0.2, 2 * FILTERS)).astype(np.float32))
+    m = Model(rng.normal(0, 0.5, (256, DIM)).astype(np.float32), rng.normal(0, 0.3, (WIDTH, DIM, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.2, 2 * FILTERS).astype(np.float32))
     if len(labels) == 0 or labels.min() == labels.max():
         m.constant = float(labels.mean()) if len(labels) else CUT
         return m
@@ -122,14 +105,14 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1, epochs: int = 8,
     params = {"embed": m.embed, "filters": m.filters, "bias": m.bias, "out": m.out, "shift": np.zeros(1, np.float32)}
     mom = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in params.items()}
     step = 0
-    for _ in range(epochs):
-        for rows in np.array_split(rng.permutation(learn), max(1, len(learn) // batch)):
+    parts = max(1, len(learn) // batch)
+    for _ in range(max(epochs, -(-steps // parts))):
+        for rows in np.array_split(rng.permutation(learn), parts):
             step += 1
             raw, offs = np.concatenate([blobs[r] for r in rows]), np.concatenate([[0], np.cumsum([len(blobs[r]) for r in rows])])
             starts, places, counts = chunk_starts(offs)
             if not len(starts):
                 continue
-            raw = symbols(raw, offs)
             tables, reach, got = m.tables(), np.repeat(offs[1:], counts), []
             for i in range(0, len(starts), 128):
                 s = slice(i, i + 128)
@@ -154,7 +137,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1, epochs: int = 8,
                 at, gg = starts[live] + where[live, c], up[live, c]
                 for j in range(WIDTH):
                     byte = np.where(at + j < reach[live], raw[np.minimum(at + j, len(raw) - 1)], 0)
-                    per = np.bincount(byte, gg, SYMBOLS).astype(np.float32)
+                    per = np.bincount(byte, gg, 256).astype(np.float32)
                     grad["filters"][j, :, c] += per @ m.embed
                     grad["embed"] += per[:, None] * m.filters[j, :, c][None, :]
             lr = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
@@ -162,12 +145,11 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1, epochs: int = 8,
                 mom[k][0] = 0.9 * mom[k][0] + 0.1 * grad[k]
                 mom[k][1] = 0.999 * mom[k][1] + 0.001 * grad[k] ** 2
                 v -= (lr * mom[k][0] / (np.sqrt(mom[k][1]) + 1e-8)).astype(np.float32)
-            np.minimum(m.out, 0, out=m.out)
     m.shift = float(params["shift"][0])
     rows = np.flatnonzero(aside) if aside.any() and labels[aside].min() != labels[aside].max() else np.arange(len(labels))
     tables = m.tables()
     z = np.array([float(logits(m, tables, blobs[r], np.array([0, len(blobs[r])]))[0]) for r in rows])
-    m.shift += float(np.log(CUT / (1 - CUT))) - best_threshold(z, labels[rows])
+    m.shift += float(np.log(CUT / (1 - CUT))) - best_threshold(z, labels[rows], heavy=1)
     return m
 
 
@@ -190,12 +172,13 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, label: str =
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """`docs` with a score from 0 to 1: higher, likelier good. Narrow: no shuffle; the model (some KB) goes along as a broadcast."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != score_col]
-    schema = docs.select(*names).withColumn(score_col, F.lit(0.0)).schema
+    names = [c for c in docs.columns if c.lower() != score_col.lower()]
+    kept = [F.col(f"`{c}`") for c in names]
+    schema = docs.select(*kept).withColumn(score_col, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = score_texts(shipped.value, b.column(b.schema.get_field_index("_whole")))
+            s = score_texts(shipped.value, b.column(len(names)))
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(names))] + [pa.array(s, pa.float64())], names=[*names, score_col])
 
-    return docs.select(*names, shared.whole_text(text_col).alias("_whole")).mapInArrow(shared.trimmed(run), schema)
+    return docs.select(*kept, shared.whole_text(text_col).alias(shared.fresh("whole", names))).mapInArrow(shared.trimmed(run), schema)

@@ -1,12 +1,16 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
 Each word is the sum of hashed embeddings (of the word, and of its beginnings of PREFIXES bytes); filters of several widths
-run over the whole text, are max-pooled and joined by one logistic unit. Thresholds are calibrated by language, where
-the language is told from the text's own function words: a score is shifted so that 0.5 is its language's threshold.
+run over the whole text, are max-pooled and joined by one logistic unit. An embedding starts from how much oftener the
+labelled texts of one class hold its word; words of fewer than LEAST texts have none. FOLDS networks are trained, each
+without its part of the rows; a score is their mean. Thresholds are calibrated by language, on scores by the network that
+hasn't seen the row; the language is told from the text's own function words. A score is shifted so that 0.5 is its
+language's threshold.
 
 Defined results: a null text counts as empty; an empty text (or one without words) gets the score of the empty text,
-the pooled filters being 0; repeated rows get equal scores; other columns are passed by. An empty table gives no rows.
-Without labels of both classes every score is the constant prior.
+the pooled filters being 0; repeated rows get equal scores; other columns, of any name, are passed by, one of the score's
+name being replaced. An empty table gives no rows. Without labels of both classes every score is the constant prior. Long
+texts are scored whole, in memory of some 60 bytes a byte of the longest.
 """
 
 from __future__ import annotations
@@ -28,8 +32,14 @@ PREFIXES = (4, 6)
 WIDTHS, FILTERS = (1, 2, 3), 12
 #: At most so many labelled rows of each class are learnt from, those of the least hash of the text.
 SAMPLE_PER_CLASS = 2000
-#: The share of the sampled rows that only calibrates thresholds.
-CALIBRATION = 4
+#: Networks, each trained without its part of the rows; that part calibrates the thresholds.
+FOLDS = 3
+#: Words and beginnings that fewer labelled texts hold have no embedding.
+LEAST = 3
+#: What an embedding loses in training, of its size.
+DECAY = 1e-3
+#: Bytes of labelled texts that the driver holds at most; beyond that, fewer rows of each class.
+SAMPLE_BYTES = 64 << 20
 
 #: Frequent function words by which a text's language is told.
 FUNCTION_WORDS = {
@@ -42,12 +52,17 @@ LANGUAGES = tuple(FUNCTION_WORDS)
 
 
 @dataclass
-class Model:
+class Net:
     embed: np.ndarray
     filters: list[np.ndarray]  # by width: (width * DIM, FILTERS)
     bias: np.ndarray
     out: np.ndarray
-    shift: float
+    shift: float = 0.0
+
+
+@dataclass
+class Model:
+    nets: list[Net]
     thresholds: dict[str, float] = field(default_factory=dict)  # of the logit, by language; "" for any other
     constant: float | None = None
 
@@ -84,7 +99,7 @@ def _function_words() -> tuple[np.ndarray, np.ndarray]:
     return _known
 
 
-def forward(m: Model, ids: np.ndarray, first: np.ndarray, keep: bool = False):
+def forward(m: Net, ids: np.ndarray, first: np.ndarray, keep: bool = False):
     """Pooled filters of each text; with `keep` also the word vectors and where each maximum is."""
     n = len(first) - 1
     x = m.embed[ids[0]]
@@ -112,24 +127,31 @@ def forward(m: Model, ids: np.ndarray, first: np.ndarray, keep: bool = False):
 
 
 def logits(m: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return forward(m, ids, first) @ m.out + m.shift
-
-
-def train(texts: list[str], labels: np.ndarray, seed: int = 9, epochs: int = 14, batch: int = 48, rate: float = 0.01) -> Model:
-    """Adam on the logistic loss, classes weighted evenly; then thresholds by language on rows that weren't learnt from."""
+    return np.mean([forward(n, ids, first) @ n.out + n.shift for n in m.nets], axis=0)
+
+
+def start(docs: list, labels: np.ndarray, rng: np.random.Generator) -> tuple[Net, np.ndarray]:
+    """A network whose embeddings begin with the log odds of their words, by standard errors; and which have one."""
+    held = np.zeros((2, BUCKETS))
+    for d, y in zip(docs, labels, strict=True):
+        held[y, np.unique(d[0])] += 1
+    known = held.sum(0) >= LEAST
+    share = np.array([(labels == 0).mean(), (labels == 1).mean()])[:, None]
+    odds = np.log((held + 2 * share) / (share * len(labels) + 2))
+    error = np.sqrt((1 / (held + 2 * share)).sum(0))
+    embed = rng.normal(0, 0.03, (BUCKETS, DIM)) * known[:, None]
+    embed[:, 0] = np.clip((odds[1] - odds[0]) / error, -3, 3) / 3 * known
+    n = FILTERS * len(WIDTHS)
+    filters = [rng.normal(0, 0.4 / np.sqrt(w), (w * DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
+    return Net(embed.astype(np.float32), filters, np.zeros(n, np.float32), rng.normal(0, 0.2, n).astype(np.float32)), known
+
+
+def train_net(docs: list, labels: np.ndarray, seed: int, epochs: int, steps: int, batch: int, rate: float) -> Net:
+    """Adam on the logistic loss, classes weighted evenly: `epochs` rounds, or as many as take `steps` steps."""
     rng = np.random.default_rng(seed)
-    m = Model(
-        rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32),
-        [rng.normal(0, 0.4 / np.sqrt(w), (w * DIM, FILTERS)).astype(np.float32) for w in WIDTHS],
-        np.zeros(FILTERS * len(WIDTHS), np.float32), rng.normal(0, 0.2, FILTERS * len(WIDTHS)).astype(np.float32), 0.0,
-    )
-    if len(labels) == 0 or labels.min() == labels.max():
-        m.constant = float(labels.mean()) if len(labels) else 0.5
-        return m
-    docs = [word_ids(pa.array([t]).cast(pa.string()) if not t else pc.utf8_lower(pa.array([t]))) for t in texts]
-    aside = np.arange(len(labels)) % CALIBRATION == CALIBRATION - 1
-    learn = np.flatnonzero(~aside) if labels[~aside].min() != labels[~aside].max() else np.arange(len(labels))
-    weight = np.where(labels == 1, 0.5 / max(1, labels[learn].sum()), 0.5 / max(1, (1 - labels[learn]).sum())) * len(learn)
+    m, known = start(docs, labels, rng)
+    learn = np.arange(len(labels))
+    weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())) * len(learn)
     state = {"t": 0}
     moments: dict[str, list[np.ndarray]] = {}
 
@@ -141,8 +163,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 9, epochs: int = 14,
         p[rows] -= lr * mom[0][rows] / (np.sqrt(mom[1][rows]) + 1e-8)
 
     shift = np.zeros(1, np.float32)
-    for _ in range(epochs):
-        for rows in np.array_split(rng.permutation(learn), max(1, len(learn) // batch)):
+    parts_ = max(1, len(learn) // batch)
+    for _ in range(max(epochs, -(-steps // parts_))):
+        for rows in np.array_split(rng.permutation(learn), parts_):
             state["t"] += 1
             buckets = np.concatenate([docs[r][0] for r in rows], axis=1)
             first = np.concatenate([[0], np.cumsum([docs[r][0].shape[1] for r in rows])])
@@ -174,28 +197,45 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 9, epochs: int = 14,
             adam("bias", m.bias, up.sum(0))
             adam("out", m.out, grad_out.astype(np.float32))
             adam("shift", shift, g.sum(keepdims=True).astype(np.float32))
-            if len(uniq):
-                adam("embed", m.embed, ge, uniq)
+            ok = known[uniq]
+            if ok.any():
+                adam("embed", m.embed, ge[ok] + DECAY * m.embed[uniq[ok]], uniq[ok])
     m.shift = float(shift[0])
-    rows = np.flatnonzero(aside) if aside.any() and labels[aside].min() != labels[aside].max() else np.arange(len(labels))
-    z = np.array([float(logits(m, *docs[r][:2])[0]) for r in rows])
-    told = np.array([docs[r][2][0] for r in rows])
-    m.thresholds[""] = best_threshold(z, labels[rows])
+    return m
+
+
+def train(texts: list[str], labels: np.ndarray, seed: int = 9, epochs: int = 4, steps: int = 70, batch: int = 48, rate: float = 0.01) -> Model:
+    """FOLDS networks, and thresholds by language from the scores of the rows that each hasn't seen."""
+    if len(labels) == 0 or labels.min() == labels.max():
+        return Model([], constant=float(labels.mean()) if len(labels) else 0.5)
+    docs = [word_ids(pa.array([t]).cast(pa.string()) if not t else pc.utf8_lower(pa.array([t]))) for t in texts]
+    fold = np.zeros(len(labels), np.int64)
+    for y in (0, 1):
+        fold[labels == y] = np.arange((labels == y).sum()) % FOLDS
+    m, z = Model([]), np.zeros(len(labels))
+    for k in range(FOLDS):
+        inside = np.flatnonzero(fold != k)
+        if labels[inside].min() == labels[inside].max():
+            inside = np.arange(len(labels))
+        m.nets.append(train_net([docs[r] for r in inside], labels[inside], seed + k, epochs, steps, batch, rate))
+        alone = Model(m.nets[-1:])
+        for r in np.flatnonzero(fold == k):
+            z[r] = logits(alone, *docs[r][:2])[0]
+    told = np.array([d[2][0] for d in docs])
+    m.thresholds[""] = best_threshold(z, labels)
     for i, name in enumerate(LANGUAGES):
         own = told == i
-        if own.sum() >= 20 and (labels[rows][own] == 1).sum() >= 5:
-            m.thresholds[name] = best_threshold(z[own], labels[rows][own])
-        else:
-            m.thresholds[name] = m.thresholds[""]
+        enough = (labels[own] == 1).sum() >= 10 and (labels[own] == 0).sum() >= 10
+        m.thresholds[name] = best_threshold(z[own], labels[own]) if enough else m.thresholds[""]
     return m
 
 
-def best_threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the widest stretch of logits at which most rows are told rightly; class 0, the commoner one outside a sample, weighs double."""
+def best_threshold(z: np.ndarray, y: np.ndarray, heavy: int = 0) -> float:
+    """The middle of the widest stretch of logits at which most rows are told rightly; the class `heavy` weighs double."""
     order = np.argsort(z)
     z, y = z[order], y[order]
-    pos, neg = max(1, (y == 1).sum()), max(1, (y == 0).sum())
-    right = np.concatenate([[1.0], 1 - np.cumsum(y == 1) / pos]) + np.concatenate([[0.0], 2 * np.cumsum(y == 0) / neg])
+    w0, w1 = ((2 if heavy == k else 1) / max(1, (y == k).sum()) for k in (0, 1))
+    right = np.concatenate([[0.0], np.cumsum(y == 0) * w0]) - np.concatenate([[0.0], np.cumsum(y == 1) * w1])
     edges = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
     best = np.flatnonzero(right >= right.max() - 1e-9)
     widest = max(best, key=lambda i: edges[i + 1] - edges[i])
@@ -217,20 +257,28 @@ def score_texts(m: Model, column: pa.Array) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, per_class: int) -> tuple[list[str], np.ndarray]:
-    """At most `per_class` labelled texts of each class, those of the least hash of the id: bounded, so the driver may hold them.
-
-    The rows are chosen from ids alone; only then are their texts read. Labels that aren't 0 or 1 and labels without a
-    text's row are passed by; of contrary labels of one id the lesser counts."""
-    marked = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(label)).cast("int").alias("_label"))
-    marked = marked.join(docs.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi").withColumn("_order", F.xxhash64("_id"))
-    chosen = [r for y in (0, 1) for r in marked.filter(F.col("_label") == y).orderBy("_order", "_id").limit(per_class).collect()]
+    """At most `per_class` labelled texts of each class, those of the least hash of the id, and SAMPLE_BYTES: so the driver may hold them.
+
+    They are drawn from the labels alone and met with the documents by a broadcast of their ids: no document is shuffled.
+    Labels that aren't 0 or 1 are passed by, as are drawn ones without a document; of contrary labels of one id the lesser counts."""
+    marked = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(label)).cast("int").alias("_label")).withColumn("_order", F.xxhash64("_id"))
+    drawn = {r["_id"]: (r["_order"], r["_label"]) for y in (0, 1) for r in marked.filter(F.col("_label") == y).orderBy("_order", "_id").limit(per_class).collect()}
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), shared.whole_text(text_col).alias("_text"))
+
+    def met(ids: list) -> DataFrame:
+        return rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], rows.select("_id").schema)), "_id")
+
+    room, chosen = [SAMPLE_BYTES // 2] * 2, []
+    sizes = met(list(drawn)).groupBy("_id").agg(F.max(F.octet_length("_text")).alias("n")).collect() if drawn else []
+    for r in sorted(sizes, key=lambda r: (drawn[r["_id"]][0], r["_id"])):
+        y = drawn[r["_id"]][1]
+        room[y] -= r["n"]
+        if room[y] >= 0:
+            chosen.append(r["_id"])
     if not chosen:
         return [], np.zeros(0, np.int64)
-    of = {r["_id"]: (r["_order"], r["_label"]) for r in chosen}
-    ids = docs.sparkSession.createDataFrame([(r["_id"],) for r in chosen], docs.select(F.col(id_col).alias("_id")).schema)
-    texts = docs.select(F.col(id_col).alias("_id"), shared.whole_text(text_col).alias("_text")).join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min("_text").alias("_text")).collect()
-    texts.sort(key=lambda r: (of[r["_id"]][0], r["_id"]))
-    return [r["_text"] for r in texts], np.array([of[r["_id"]][1] for r in texts], np.int64)
+    texts = {r["_id"]: r["_text"] for r in met(chosen).groupBy("_id").agg(F.min("_text").alias("_text")).collect()}
+    return [texts[i] for i in chosen], np.array([drawn[i][1] for i in chosen], np.int64)
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE_PER_CLASS) -> Model:
@@ -239,16 +287,16 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, label: str =
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """`docs` with a score from 0 to 1: higher, likelier toxic. Narrow: no shuffle; the model (2 MB) goes along as a broadcast."""
+    """`docs` with a score from 0 to 1: higher, likelier toxic. Narrow: no shuffle; the model (12 MB) goes along as a broadcast."""
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != score_col]
-    schema = docs.select(*names).withColumn(score_col, F.lit(0.0)).schema
+    names = [c for c in docs.columns if c.lower() != score_col.lower()]
+    kept = [F.col(f"`{c}`") for c in names]
+    schema = docs.select(*kept).withColumn(score_col, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
         for b in batches:
-            s = score_texts(m, b.column(b.schema.get_field_index("_whole")))
+            s = score_texts(shipped.value, b.column(len(names)))
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(names))] + [pa.array(s, pa.float64())], names=[*names, score_col])
 
-    return docs.select(*names, shared.whole_text(text_col).alias("_whole")).mapInArrow(shared.trimmed(run), schema)
+    return docs.select(*kept, shared.whole_text(text_col).alias(shared.fresh("whole", names))).mapInArrow(shared.trimmed(run), schema)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from doppel.llm import quality, shared, toxicity
 
-SCHEMA = "doc_id long, text string, lang string, score double, _extra int"
+SCHEMA = "doc_id long, text string, lang string, score double, _whole int"
 
 
 def sample(n=240, seed=5):
@@ -61,6 +61,58 @@ def test_quality_learns_and_chunks_cover_the_text():
         assert seen.all() and counts.sum() == len(starts)
 
 
+def test_toxicity_equals_a_plain_forward_pass():
+    texts, labels = sample(90)
+    model = toxicity.train(texts, labels)
+    probes = [*texts[:5], "", "w1", "w1 vile", "the vile and rotten of the w3", "ü é w1 ß"]
+
+    def plain(net, ids):
+        x = [sum(net.embed[b].astype(float) for b in word) for word in ids.T]
+        out = net.shift
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                best = max((sum(float(x[i + j] @ net.filters[k][j * toxicity.DIM : (j + 1) * toxicity.DIM, f]) for j in range(width) if i + j < len(x)) for i in range(len(x))), default=None)
+                col = k * toxicity.FILTERS + f
+                out += net.out[col] * (0 if best is None else max(0, best + net.bias[col]))
+        return out
+
+    for text in probes:
+        ids, _, told = toxicity.word_ids(pa.array([text]))
+        z = np.mean([plain(n, ids) for n in model.nets])
+        name = toxicity.LANGUAGES[told[0]] if told[0] >= 0 else ""
+        want = 1 / (1 + np.exp(-np.clip(z - model.thresholds[name], -35, 35)))
+        assert toxicity.score_texts(model, pa.array([text]))[0] == pytest.approx(want, abs=1e-4)
+
+
+def test_quality_equals_a_plain_forward_pass():
+    rng = np.random.default_rng(12)
+    m = quality.Model(rng.normal(size=(256, quality.DIM)), rng.normal(size=(quality.WIDTH, quality.DIM, quality.FILTERS)), rng.normal(size=quality.FILTERS), rng.normal(size=2 * quality.FILTERS), 0.3)
+    for size in (0, 1, 4, 6, 30, 261, 262, 700):
+        text = "".join(rng.choice(list("abc é!"), size))
+        raw = list(text.encode())
+        n = max(len(raw) - quality.WIDTH + 1, 1) if raw else 0
+        pooled, start = [], 0
+        while start < n and (start == 0 or start + quality.CHUNK - quality.STRIDE < n):
+            best = np.full(quality.FILTERS, -np.inf)
+            for i in range(start, min(start + quality.CHUNK, n)):
+                y = np.zeros(quality.FILTERS)
+                for j in range(quality.WIDTH):
+                    y += m.embed[raw[i + j] if i + j < len(raw) else 0] @ m.filters[j]
+                best = np.maximum(best, y)
+            pooled.append(np.maximum(best + m.bias, 0))
+            start += quality.STRIDE
+        both = np.concatenate([np.max(pooled, axis=0), np.mean(pooled, axis=0)]) if pooled else np.zeros(2 * quality.FILTERS)
+        want = 1 / (1 + np.exp(-np.clip(both @ m.out + m.shift, -35, 35)))
+        assert quality.score_texts(m, pa.array([text]))[0] == pytest.approx(want, abs=1e-4)
+
+
+def test_sampled_bytes_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 100)
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.repeat(F.lit("t"), 10).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    assert len(toxicity.labelled_sample(docs, labels, "toxic", "doc_id", "text", 1000)[0]) == 10
+
+
 @pytest.mark.parametrize("mod,label", [(toxicity, "toxic"), (quality, "quality")])
 def test_nulls_empties_ties_and_clashing_names(spark, mod, label):
     texts, labels = sample(60)
@@ -69,7 +121,7 @@ def test_nulls_empties_ties_and_clashing_names(spark, mod, label):
     marks = spark.createDataFrame([(i, int(y)) for i, y in enumerate(labels)] + [(100, None), (None, 1), (555, 1), (3, 7)], f"doc_id long, {label} int")
     model = mod.fit(spark, docs, marks)
     got = mod.score(docs, model).collect()
-    assert len(got) == len(rows) and {*got[0].asDict()} == {"doc_id", "text", "lang", "score", "_extra"}
+    assert len(got) == len(rows) and {*got[0].asDict()} == {"doc_id", "text", "lang", "score", "_whole"}
     assert all(0 <= r.score <= 1 for r in got)
     of = {r.doc_id: r.score for r in got if r.doc_id is not None}
     assert of[100] == of[101]
