@@ -11,12 +11,13 @@ Suffixes need an order only up to depth `length`: two are neighbours there exact
    taken up once, and the names of CELL windows' common core, then those of the windows left, are counted.
 3. Repeated windows go back to their texts, and what they cover is removed.
 
-Names are 64 bits, phrases are told by name and trigger (128 bits). What a task broadcasts are bitmaps of BITS bits, which
-only spare shuffles: a wrong hit costs a row, not a result. Highly repetitive texts have few different phrases, and every
-count is combined map-side.
+Phrases, windows and texts are told by 128 bits: a name and the trigger's, or two hashes of the text. What a task broadcasts
+are bitmaps of BITS bits, which only spare shuffles: a wrong hit costs a row, not a result. Highly repetitive texts have few
+different phrases, and every count is combined map-side. Texts are parsed in stretches of STRETCH windows, however long.
 
 Defined results: matches never cross documents; null and empty texts, and texts shorter than `length`, lose nothing; equal
-texts and repeated rows of at least `length` bytes lose all; other columns are passed by; an empty table gives no rows.
+texts and repeated rows of at least `length` bytes lose all; other columns, of any name, are passed by; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from doppel.llm import shared
 
 LENGTH, GRAM, CELL = 200, 48, 16
 BITS = 25
+#: Window starts that are parsed at a time; fewer than _PLACE can tell.
+STRETCH = 1 << 22
 _ROLL = shared.Rolling(66)
 _PLACE = np.uint64((1 << 27) - 1)
 
@@ -70,6 +73,23 @@ def phrase_names(sums, lo, hi, trigger, length):
     return names(sums, lo, hi + length, trigger - lo), names(sums, trigger, trigger + GRAM)
 
 
+def phrases(raw: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(row, lo, hi, trigger, name, core) of the texts, places from a text's own start. A long text is parsed in stretches of
+    its own, at whose ends phrases are cut; what two cuts make of one phrase still shares its trigger."""
+    out = []
+    for i, j in shared.slices(offs, STRETCH):
+        end = offs[j] - offs[i]
+        for at in range(0, max(end if j == i + 1 else 1, 1), STRETCH):
+            own = np.minimum(offs[i : j + 1] - offs[i], at + STRETCH + length - 1) - at if j == i + 1 else offs[i : j + 1] - offs[i]
+            own[0] = 0
+            row, lo, hi, trigger, sums = parse(raw[offs[i] + at : offs[i] + at + own[-1]], own, length)
+            if len(row):
+                base = own[row] - at
+                name, core = phrase_names(sums, lo, hi, trigger, length)
+                out.append((row + i, lo - base, hi - base, trigger - base, name.view(np.int64), core.view(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(6))
+
+
 def _as_long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -106,58 +126,53 @@ def _within(rows: DataFrame, bits: np.ndarray, col: str, keep: bool = True) -> D
 
 
 def repeated(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(node, spans, points): of each text with a repeated window, first and last starts of runs, and single starts (places in bytes)."""
+    """(node, twin, lo, hi): of each text with a repeated window, first and last starts of runs of such windows (places in bytes)."""
     spark = docs.sparkSession
-    texts = docs.select(F.xxhash64(shared.whole_text(text_col)).alias("node"), shared.whole_text(text_col).alias("text"))
+    texts = docs.select(*(c.alias(n) for n, c in text_key(text_col).items()), shared.whole_text(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, offs = shared.text_buffer(b.column(1))
-            node = b.column(0)
+            raw, offs = shared.text_buffer(b.column(2))
             for i, j in shared.slices(offs):
-                row, lo, hi, trigger, sums = parse(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length)
+                row, lo, hi, _, name, core = phrases(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length)
                 if not len(row):
                     continue
-                name, core = phrase_names(sums, lo, hi, trigger, length)
                 some, counts = np.unique(row, return_counts=True)
-                base = (offs[i:j] - offs[i])[row]
-                yield pa.RecordBatch.from_arrays(
-                    [node.take(pa.array(some + i)), *(shared.list_column(x, counts, k) for x, k in (((lo - base).astype(np.int32), pa.int32()), ((hi - base).astype(np.int32), pa.int32()), (name.view(np.int64), pa.int64()), (core.view(np.int64), pa.int64())))],
-                    names=["node", "lo", "hi", "name", "core"],
-                )
-
-    parsed = shared.cut(texts.mapInArrow(shared.trimmed(run), "node long, lo array<int>, hi array<int>, name array<long>, core array<long>"), "parse")
-    phrases = parsed.select("node", F.explode(F.arrays_zip("name", "core")).alias("p")).select("node", "p.*")
-    dictionary = shared.cut(phrases.groupBy("name", "core").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")), "dictionary")
+                at = pa.array(some + i)
+                lists = [shared.list_column(x, counts, k) for x, k in ((lo.astype(np.int32), pa.int32()), (hi.astype(np.int32), pa.int32()), (name, pa.int64()), (core, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *lists], names=["node", "twin", "lo", "hi", "name", "core"])
+
+    parsed = shared.cut(texts.mapInArrow(shared.trimmed(run), "node long, twin long, lo array<int>, hi array<int>, name array<long>, core array<long>"), "parse")
+    occurrences = parsed.select("node", F.explode(F.arrays_zip("name", "core")).alias("p")).select("node", "p.*")
+    dictionary = shared.cut(occurrences.groupBy("name", "core").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")), "dictionary")
     again = dictionary.filter("n > 1").select("name", "core")
     bits = spark.sparkContext.broadcast(bitmap(again, "name"))
 
     def unnest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = [b.column(k) for k in range(1, 5)]
+            lists = [b.column(k) for k in range(2, 6)]
             count = np.diff(lists[0].offsets.to_numpy())
             lo, hi, name, core = (x.flatten().to_numpy() for x in lists)
             hit = np.flatnonzero(marked(bits.value, name))
-            owner = np.repeat(b.column(0).to_numpy(), count)[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(x[hit] if x is not owner else x) for x in (owner, lo, hi, name, core)], names=["node", "lo", "hi", "name", "core"])
+            node, twin = (np.repeat(b.column(k).to_numpy(), count)[hit] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, twin, lo[hit], hi[hit], name[hit], core[hit])], names=["node", "twin", "lo", "hi", "name", "core"])
 
-    runs = parsed.mapInArrow(shared.trimmed(unnest), "node long, lo int, hi int, name long, core long").join(again, ["name", "core"]).select("node", "lo", "hi")
+    runs = parsed.mapInArrow(shared.trimmed(unnest), "node long, twin long, lo int, hi int, name long, core long").join(again, ["name", "core"]).select("node", "twin", "lo", "hi")
     # phrases that occur once and share their trigger with another phrase
     shares = shared.cut(dictionary.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("k > 1 and least = 1").select("core"), "shares")
     wanted = _within(dictionary, bitmap(shares, "core"), "core").join(shares, "core", "left_semi")
     wanted = shared.cut(wanted.groupBy("node").agg(F.collect_list(F.struct("name", "n")).alias("want")), "wanted")
-    asked = _within(texts, bitmap(wanted, "node"), "node").join(wanted, "node").select("node", "text", F.transform("want", lambda x: x["name"]).alias("name"), F.transform("want", lambda x: x["n"]).alias("n"))
+    asked = _within(texts, bitmap(wanted, "node"), "node").join(wanted, "node").select("node", "twin", "text", F.transform("want", lambda x: x["name"]).alias("name"), F.transform("want", lambda x: x["n"]).alias("n"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, offs = shared.text_buffer(b.column(1))
-            out = {k: [] for k in ("node", "name", "lo", "hi", "at", "n")}
+            raw, offs = shared.text_buffer(b.column(2))
+            out = {k: [] for k in ("node", "twin", "name", "core", "lo", "hi", "at", "n")}
             spans = []
-            nodes, want_names, want_n = b.column(0).to_numpy(), b.column(2), b.column(3)
+            nodes, twins, want_names, want_n = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3), b.column(4)
             for r in range(b.num_rows):
                 text = raw[offs[r] : offs[r + 1]]
-                _, lo, hi, trigger, sums = parse(text, np.array([0, len(text)]), length)
-                name = phrase_names(sums, lo, hi, trigger, length)[0].view(np.int64)
+                _, lo, hi, trigger, name, core = phrases(text, np.array([0, len(text)]), length)
                 w = want_names[r].values.to_numpy()
                 order = np.argsort(w)
                 at = np.searchsorted(w[order], name)
@@ -165,7 +180,7 @@ def repeated(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH) -
                 hit = np.flatnonzero(w[order][at] == name)
                 _, one = np.unique(name[hit], return_index=True)  # a phrase that the text holds twice is taken once
                 hit = hit[one]
-                for k, x in (("node", np.full(len(hit), nodes[r])), ("name", name[hit]), ("lo", lo[hit]), ("hi", hi[hit]), ("at", trigger[hit] - lo[hit]), ("n", want_n[r].values.to_numpy()[order][at[hit]])):
+                for k, x in (("node", np.full(len(hit), nodes[r])), ("twin", np.full(len(hit), twins[r])), ("name", name[hit]), ("core", core[hit]), ("lo", lo[hit]), ("hi", hi[hit]), ("at", trigger[hit] - lo[hit]), ("n", want_n[r].values.to_numpy()[order][at[hit]])):
                     out[k].append(x)
                 spans += [text[a : c + length].tobytes() for a, c in zip(lo[hit], hi[hit], strict=True)]
             got = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
@@ -173,7 +188,7 @@ def repeated(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH) -
                 yield pa.RecordBatch.from_arrays([*(pa.array(got[k][i : i + 8192].astype(np.int64)) for k in out), pa.array(spans[i : i + 8192], pa.binary())], names=[*out, "span"])
 
     # equal texts give equal rows: one of them stays
-    spans = asked.mapInArrow(shared.trimmed(take), "node long, name long, lo long, hi long, at long, n long, span binary").dropDuplicates(["node", "name"])
+    spans = asked.mapInArrow(shared.trimmed(take), "node long, twin long, name long, core long, lo long, hi long, at long, n long, span binary").dropDuplicates(["node", "twin", "name", "core"])
     spans = shared.cut(spans, "spans")
 
     def cells(batches: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.RecordBatch]:
@@ -193,7 +208,7 @@ def repeated(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH) -
             if not deep:
                 begin = offs[:-1][row] + last
                 code = names(sums, begin, begin - CELL + 1 + length, cell + 1000)
-                yield pa.RecordBatch.from_arrays([_as_long(code), col["n"].take(pa.array(row)), col["node"].take(pa.array(row)), col["name"].take(pa.array(row)), pa.array(cell.astype(np.int32))], names=["code", "n", "node", "name", "cell"])
+                yield pa.RecordBatch.from_arrays([_as_long(code), *(col[c].take(pa.array(row)) for c in ("core", "n", "node", "name")), pa.array(cell.astype(np.int32))], names=["code", "core", "n", "node", "name", "cell"])
             else:
                 lists = col["cells"]
                 owner = np.repeat(np.arange(len(size)), np.diff(lists.offsets.to_numpy()))
@@ -206,44 +221,51 @@ def repeated(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH) -
                 begin = offs[:-1][row] + start
                 code = names(sums, begin, begin + length, at[row] - start)
                 place = (col["lo"].to_numpy()[row] + start).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([_as_long(code), col["n"].take(pa.array(row)), col["node"].take(pa.array(row)), pa.array(place)], names=["code", "n", "node", "place"])
+                yield pa.RecordBatch.from_arrays([_as_long(code), *(col[c].take(pa.array(row)) for c in ("core", "n", "node", "twin")), pa.array(place)], names=["code", "core", "n", "node", "twin", "place"])
 
     def shared_codes(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("code").agg(F.sum("n").alias("all"), F.min("n").alias("least")).filter("`all` > 1 and least = 1").select("code")
+        return rows.groupBy("code", "core").agg(F.sum("n").alias("all"), F.min("n").alias("least")).filter("`all` > 1 and least = 1").select("code", "core")
 
-    coarse = spans.select("node", "name", "at", "n", "span").mapInArrow(shared.trimmed(lambda b: cells(b, False)), "code long, n long, node long, name long, cell int")
+    key = ["code", "core"]
+    coarse = spans.select("node", "name", "core", "at", "n", "span").mapInArrow(shared.trimmed(lambda b: cells(b, False)), "code long, core long, n long, node long, name long, cell int")
     coarse = shared.cut(coarse, "cells")
-    chosen = coarse.join(shared.cut(shared_codes(coarse), "codes"), "code", "left_semi").groupBy("node", "name").agg(F.collect_list("cell").alias("cells"))
-    fine = spans.join(chosen, ["node", "name"]).select("node", "lo", "at", "n", "span", "cells").mapInArrow(shared.trimmed(lambda b: cells(b, True)), "code long, n long, node long, place int")
+    chosen = coarse.join(shared.cut(shared_codes(coarse), "codes"), key, "left_semi").groupBy("node", "name", "core").agg(F.collect_set("cell").alias("cells"))
+    fine = spans.join(chosen, ["node", "name", "core"]).select("node", "twin", "core", "lo", "at", "n", "span", "cells").mapInArrow(shared.trimmed(lambda b: cells(b, True)), "code long, core long, n long, node long, twin long, place int")
     fine = shared.cut(fine, "windows")
-    points = fine.filter("n = 1").join(shared.cut(shared_codes(fine), "codes"), "code", "left_semi").select("node", F.col("place").alias("lo"), F.col("place").alias("hi"))
-    marks = runs.unionByName(points).groupBy("node").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
-    return shared.cut(marks.select("node", F.transform("marks", lambda x: x["lo"]).alias("lo"), F.transform("marks", lambda x: x["hi"]).alias("hi")), "marks")
+    points = fine.filter("n = 1").join(shared.cut(shared_codes(fine), "codes"), key, "left_semi").select("node", "twin", F.col("place").alias("lo"), F.col("place").alias("hi"))
+    marks = runs.unionByName(points).groupBy("node", "twin").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
+    return shared.cut(marks.select("node", "twin", F.transform("marks", lambda x: x["lo"]).alias("lo"), F.transform("marks", lambda x: x["hi"]).alias("hi")), "marks")
 
 
-def covered(size: int, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
-    """Which bytes the windows starting at lo .. hi cover."""
-    step = np.zeros(size + 1, np.int64)
-    np.add.at(step, lo, 1)
-    np.add.at(step, hi + length, -1)
-    return np.cumsum(step[:-1]) > 0
+def text_key(text_col: str) -> dict:
+    """What tells a text: two hashes of 64 bits."""
+    return {"node": F.xxhash64(shared.whole_text(text_col)), "twin": F.xxhash64(shared.whole_text(text_col), F.lit(1))}
+
+
+def covered(lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that windows starting at lo .. hi cover."""
+    order = np.argsort(lo, kind="stable")
+    start, end = lo[order].astype(np.int64), np.maximum.accumulate(hi[order].astype(np.int64) + length)
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+    return start[first], end[np.append(first[1:], len(end)) - 1]
 
 
 def remove(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, digest: bool = False) -> DataFrame:
-    """`docs` without the repeated bytes. With `digest`, instead of the text: n_bytes, n_removed, n_spans and the kept bytes' sha256.
+    """`docs` without the repeated bytes. With `digest`, instead of the text: n_bytes, n_removed, n_spans and the kept bytes' sha256
+    (columns of these names are replaced).
 
     A character of which bytes go is left out whole. Texts that lose nothing aren't shuffled."""
-    spark = docs.sparkSession
     marks = repeated(docs, text_col=text_col, length=length)
     bits = bitmap(marks, "node")
-    names_ = [c for c in docs.columns if c != text_col]
-    rows = docs.select(*names_, shared.whole_text(text_col).alias("_text"), F.xxhash64(shared.whole_text(text_col)).alias("_node"))
-    if digest:
-        schema = docs.select(*names_, F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit("").alias("kept_sha256")).schema
-    else:
-        schema = docs.schema
-    m = marks.select(F.col("node").alias("_m"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    touched = _within(rows, bits, "_node").join(m, F.col("_node") == F.col("_m"), "left").select(*names_, "_text", "_lo", "_hi")
+    told = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"} if digest else {}
+    names_ = [c for c in docs.columns if c != text_col and c.lower() not in told]
+    kept_ = [F.col(f"`{c}`") for c in names_]
+    text, node, twin, m1, m2, lo_, hi_ = (shared.fresh(n, [*names_, *told]) for n in ("text", "node", "twin", "of_node", "of_twin", "lo", "hi"))
+    key = text_key(text_col)
+    rows = docs.select(*kept_, shared.whole_text(text_col).alias(text), key["node"].alias(node), key["twin"].alias(twin))
+    schema = docs.select(*kept_, *(F.lit(None).cast(t).alias(c) for c, t in told.items())).schema if digest else docs.schema
+    m = marks.select(F.col("node").alias(m1), F.col("twin").alias(m2), F.col("lo").alias(lo_), F.col("hi").alias(hi_))
+    touched = _within(rows, bits, node).join(m, (F.col(f"`{node}`") == F.col(f"`{m1}`")) & (F.col(f"`{twin}`") == F.col(f"`{m2}`")), "left").select(*kept_, *(F.col(f"`{c}`") for c in (text, lo_, hi_)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -251,25 +273,27 @@ def remove(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, dig
             raw, offs = shared.text_buffer(b.column(k))
             out = []
             for r in range(b.num_rows):
-                text, lo = raw[offs[r] : offs[r + 1]], b.column(k + 1)[r]
+                whole, lo = raw[offs[r] : offs[r + 1]], b.column(k + 1)[r]
                 if lo.is_valid:
-                    gone = covered(len(text), lo.values.to_numpy(), b.column(k + 2)[r].values.to_numpy(), length)
-                    kept = text[~gone].tobytes()
-                    n_spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
+                    starts, ends = covered(lo.values.to_numpy(), b.column(k + 2)[r].values.to_numpy(), length)
+                    edges = zip(np.concatenate([[0], ends]).tolist(), np.concatenate([starts, [len(whole)]]).tolist(), strict=True)
+                    left, n_spans = b"".join(whole[i:j].tobytes() for i, j in edges), len(starts)
                 else:
-                    kept, n_spans = text.tobytes(), 0
-                out.append((len(text), len(text) - len(kept), n_spans, hashlib.sha256(kept).hexdigest()) if digest else kept.decode("utf-8", "ignore"))
+                    left, n_spans = whole.tobytes(), 0
+                out.append((len(whole), len(whole) - len(left), n_spans, hashlib.sha256(left).hexdigest()) if digest else left.decode("utf-8", "ignore"))
             if digest:
                 cols = list(zip(*out, strict=True)) or [()] * 4
-                more = {c: pa.array(x, t) for c, x, t in zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)}
+                more = {c: pa.array(x, pa.string() if t == "string" else pa.int64()) for (c, t), x in zip(told.items(), cols, strict=True)}
             else:
                 more = {text_col: pa.array(out, pa.string())}
             have = {c: b.column(i) for i, c in enumerate(names_)} | more
             yield pa.RecordBatch.from_arrays([have[f.name] for f in schema], names=[f.name for f in schema])
 
-    untouched = _within(rows, bits, "_node", keep=False)
+    untouched = _within(rows, bits, node, keep=False)
     if digest:
-        untouched = untouched.select(*names_, F.octet_length("_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("_text").cast("binary"), 256).alias("kept_sha256"))
+        whole = F.col(f"`{text}`")
+        plain = (F.octet_length(whole).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.sha2(whole.cast("binary"), 256))
+        untouched = untouched.select(*kept_, *(c.alias(n) for n, c in zip(told, plain, strict=True)))
     else:
-        untouched = untouched.withColumnRenamed("_text", text_col).select(*docs.columns)
+        untouched = untouched.select(*(F.col(f"`{text}`").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
     return touched.mapInArrow(shared.trimmed(run), schema).unionByName(untouched)

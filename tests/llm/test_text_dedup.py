@@ -38,7 +38,7 @@ def cases():
 def test_suffixes_equal_brute_force(spark):
     texts = cases()
     texts += [texts[0], texts[14], texts[14][:1500] + "!" + texts[14][1500:]]
-    docs = spark.createDataFrame([(i, t, "n", 7) for i, t in enumerate(texts)], "doc_id long, text string, node string, lo int")
+    docs = spark.createDataFrame([(i, t, "n", 7, "a", "b", "c") for i, t in enumerate(texts)], "doc_id long, text string, node string, lo int, _text string, _lo string, twin string")
     got = {r.doc_id: r for r in suffixes.remove(docs, digest=True).collect()}
     want = brute_removal([(t or "").encode() for t in texts], 200)
     assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(texts))] == want
@@ -46,6 +46,26 @@ def test_suffixes_equal_brute_force(spark):
     assert left[8] == texts[8] and left[0] == "" and set(docs.columns) == set(suffixes.remove(docs).columns)
 
 
+def test_suffixes_in_stretches(spark, monkeypatch):
+    """Texts beyond a stretch, cut at places that depend on where a passage stands."""
+    for stretch in (300, 1000):
+        monkeypatch.setattr(suffixes, "STRETCH", stretch)
+        texts = [t for t in cases() if t]
+        blobs = [t.encode() for t in texts]
+        names = {}
+        for k, b in enumerate(blobs):
+            row, lo, hi, trigger, name, core = suffixes.phrases(np.frombuffer(b, np.uint8), np.array([0, len(b)]), 200)
+            assert [p for x, y in zip(lo, hi, strict=True) for p in range(x, y + 1)] == list(range(max(0, len(b) - 199)))
+            for i in range(len(row)):
+                assert names.setdefault((name[i], core[i]), b[lo[i] : hi[i] + 200]) == b[lo[i] : hi[i] + 200]
+                assert lo[i] <= trigger[i] and hi[i] <= trigger[i] and trigger[i] + suffixes.GRAM <= lo[i] + 200
+
+
+def test_covered_merges_runs():
+    starts, ends = suffixes.covered(np.array([500, 0, 10, 210]), np.array([500, 3, 10, 215]), 200)
+    assert starts.tolist() == [0, 500] and ends.tolist() == [415, 700]
+
+
 def test_suffixes_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffixes.remove(docs, digest=True).count() == 0
