@@ -3,11 +3,12 @@
 Words hashed to signs project every document to DIMS dimensions (scaled by the square root of its words); the cells of a
 grid of 2**LEVEL steps in each are ordered by a Hilbert curve. Documents are dealt to ranges of the curve, sorted there,
 tokenised and laid out end to end; a sequence is a stretch of `size` ids. What a range leaves over is cut into stretches of
-a power of two, so that nothing is padded. Bounds of the ranges come from about SAMPLE documents of least hash; they place
-documents only, and a key that fills several ranges is spread over all of them.
+a power of two, so that nothing is padded. There are as many ranges as the session has shuffle partitions, and more where
+they would hold over RANGE_BYTES of text. Their bounds come from some SAMPLE documents at random, or PER_RANGE for each range
+if that is more; they place documents only, and a key that fills several ranges is spread over all of them.
 
 Defined results: a null text is empty; an empty text is its end id alone; repeated rows are packed each; documents with null
-ids are packed too; other columns are ignored; an empty table gives no rows.
+ids are packed too; other columns, of any name, are ignored; an empty table gives no rows. A text is tokenised whole.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from doppel.llm import shared, tokens
 
 SIZE, END = 1024, 0
 DIMS, LEVEL = 4, 8
-SAMPLE = 20_000
+SAMPLE, PER_RANGE = 20_000, 32
+RANGE_BYTES = 64 << 20
 
 
 def hilbert(cells: np.ndarray, level: int) -> np.ndarray:
@@ -98,17 +100,17 @@ def even_bounds(keys: np.ndarray, size: np.ndarray, count: int) -> np.ndarray:
 def along_curve(docs: DataFrame, id_col: str, text_col: str, extra: list[str]) -> DataFrame:
     """Rows (_id, _text, extra) dealt to ranges of the curve and sorted there."""
     spark = docs.sparkSession
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("_id"), shared.whole_text(text_col).alias("_text"), *extra)
-    total = rows.count()
-    every = max(1, total // SAMPLE)
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), shared.whole_text(text_col).alias("_text"), *extra)
+    total, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("_text").cast("long"))).first()
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // RANGE_BYTES))
+    share = min(1.0, max(SAMPLE, PER_RANGE * count) / max(1, total))
     at = len(rows.columns)
 
     def key_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(curve_keys(b.column(0))), pa.array(np.diff(shared.text_buffer(b.column(0))[1]))], names=["key", "bytes"])
 
-    sample = rows.filter(F.pmod(F.xxhash64("_id"), F.lit(every)) == 0).select("_text").mapInArrow(shared.trimmed(key_only), "key long, bytes long").toArrow()
+    sample = rows.select("_text").sample(share, 4).mapInArrow(shared.trimmed(key_only), "key long, bytes long").toArrow()
     bounds = even_bounds(sample["key"].to_numpy(), sample["bytes"].to_numpy(), count)
     shipped = spark.sparkContext.broadcast((bounds, np.array(lanes(spark, count), np.int32)))
 
