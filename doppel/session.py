@@ -24,9 +24,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir; only where it is unset (local runs) one of our own."""
+    """A folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of our own, which only a local master can share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="doppel-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
