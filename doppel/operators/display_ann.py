@@ -2,8 +2,11 @@
 
 A displayed code is 6 first and 6 last digits. Projections hash the one-hot code in TABLES tables of DIMS normal projections
 each; a query takes points within a radius in every dimension of a table, widening it until enough have votes. The graph
-links each recipient to its nearest codes and is searched best first. Both rank by the number of differing digits. A
-victim's recipients are worked on together, in numpy; victims are dealt by hash, a victim's queries in blocks.
+links each recipient to its nearest codes and is searched best first. Both rank by the number of differing digits.
+
+Votes are a plan of joins: pairs of a look-alike and a recipient are met by victim, Arrow batches say in which round each
+table's radius reaches, and a window over the look-alike's rows finds the round that it stops at. The graph's searches are
+steps that depend on one another: a victim's recipients are worked on together there, a victim's queries in blocks.
 """
 
 from __future__ import annotations
@@ -13,7 +16,8 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doppel.config import DetectorConfig
@@ -84,9 +88,46 @@ def by_graph(query: np.ndarray, at: np.ndarray, code: np.ndarray, places: np.nda
     return np.array(sorted(visited, key=lambda x: (far[x], x))[:limit], np.int64)
 
 
+def voted(pairs: DataFrame, cps: DataFrame, limit: int) -> DataFrame:
+    """(victim, lookalike, recipient): what by_votes() gives for every look-alike, as a plan."""
+    points, asked = cps.select("victim", "recipient").distinct(), pairs.select("victim", "lookalike").distinct()
+    w, radii = weights(), [RADIUS * GROWTH**r for r in range(ROUNDS)]
+
+    def meet(batches):
+        for b in batches:
+            (look, li), (own, ri) = ((np.unique(b.column(k).to_numpy(zero_copy_only=False), return_inverse=True)) for k in (1, 2))
+            a, c = codes(look.tolist()), codes(own.tolist())
+            pa_, pc_ = project(a, w), project(c, w)
+            votes = np.zeros((b.num_rows, ROUNDS), np.int32)
+            for i in range(0, b.num_rows, 4096):
+                s = slice(i, i + 4096)
+                reach = np.abs(pc_[ri[s]] - pa_[li[s]]).max(axis=2)  # of each table
+                votes[s] = np.cumsum([(reach <= r).sum(axis=1) for r in radii], axis=0).T
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * ROUNDS), pa.array(votes.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((a[li] != c[ri]).sum(axis=1).astype(np.int32)), flat], names=["victim", "lookalike", "recipient", "far", "votes"])
+
+    met = asked.join(points, "victim").select("victim", "lookalike", "recipient").mapInArrow(meet, "victim string, lookalike string, recipient string, far int, votes array<int>")
+    of = Window.partitionBy("victim", "lookalike")
+    want = F.greatest(F.lit(1), F.least(F.lit(limit), F.ceil(0.1 * F.count(F.lit(1)).over(of))))
+    stop = F.lit(ROUNDS - 1)
+    for r in reversed(range(ROUNDS - 1)):
+        stop = F.when(F.col(f"_n{r}") >= F.col("_want"), r).otherwise(stop)
+    met = met.withColumns({"_want": want} | {f"_n{r}": F.count_if(F.get("votes", F.lit(r)) > 0).over(of) for r in range(ROUNDS - 1)})
+    met = met.withColumn("_votes", F.get("votes", stop)).filter("_votes > 0")
+    nth = F.row_number().over(of.orderBy("far", F.desc("_votes"), "recipient"))
+    return met.withColumn("_nth", nth).filter(F.col("_nth") <= limit).select("victim", "lookalike", "recipient")
+
+
 def retrieve(pairs: DataFrame, cps: DataFrame, cfg: DetectorConfig, graph: bool = False) -> DataFrame:
     """Candidate rows like those of the exact retrievals."""
     limit = max(1, 2 * cfg.max_candidates_per_side) if cfg.max_candidates_per_side > 0 else 4096
+    found = searched(pairs, cps, limit) if graph else voted(pairs, cps, limit)
+    rows = pairs.join(found, ["victim", "lookalike"]).join(cps, ["victim", "recipient"])
+    return rows.withColumns(detect.matched(cfg)).withColumns({"in_p": F.lit(True), "in_s": F.lit(True)})
+
+
+def searched(pairs: DataFrame, cps: DataFrame, limit: int) -> DataFrame:
+    """(victim, lookalike, recipient): what by_graph() gives for every look-alike."""
     points = cps.select("victim", "recipient").distinct()
     asked = pairs.select("victim", "lookalike").distinct().join(detect.protected(cps), "victim", "left_semi").withColumn("block", F.pmod(F.xxhash64("lookalike"), F.lit(4)))
     copies = points.withColumn("block", F.explode(F.array(*(F.lit(b).cast("long") for b in range(4)))))
@@ -98,13 +139,8 @@ def retrieve(pairs: DataFrame, cps: DataFrame, cfg: DetectorConfig, graph: bool
             return pd.DataFrame({"victim": [], "lookalike": [], "recipient": []}, dtype=str)
         code, ask = codes(ids), codes(list(left["lookalike"]))
         places, at = project(code, w), project(ask, w)
-        links = build_graph(code, places) if graph else None
-        rows = []
-        for k, look in enumerate(left["lookalike"]):
-            got = by_graph(ask[k], at[k], code, places, links, limit) if graph else by_votes(ask[k], at[k], code, places, limit)
-            rows += [(key[0], look, ids[x]) for x in got]
+        links = build_graph(code, places)
+        rows = [(key[0], look, ids[x]) for k, look in enumerate(left["lookalike"]) for x in by_graph(ask[k], at[k], code, places, links, limit)]
         return pd.DataFrame(rows, columns=["victim", "lookalike", "recipient"])
 
-    found = asked.groupBy("victim", "block").cogroup(copies.groupBy("victim", "block")).applyInPandas(search, "victim string, lookalike string, recipient string")
-    rows = pairs.join(found, ["victim", "lookalike"]).join(cps, ["victim", "recipient"])
-    return rows.withColumns(detect.matched(cfg)).withColumns({"in_p": F.lit(True), "in_s": F.lit(True)})
+    return asked.groupBy("victim", "block").cogroup(copies.groupBy("victim", "block")).applyInPandas(search, "victim string, lookalike string, recipient string")
