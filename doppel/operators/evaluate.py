@@ -142,6 +142,12 @@ def best_threshold(sweep: DataFrame, *keys: str) -> DataFrame:
     return sweep.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def production_threshold(rows: DataFrame) -> DataFrame:
+    """The tau to run with, from rows (tau, f1, false_rate) of one method without loss: highest mean F1, then lowest mean false rate, then lowest tau."""
+    means = rows.groupBy("tau").agg(F.avg("f1").alias("mean_f1"), F.avg("false_rate").alias("mean_false_rate"))
+    return means.orderBy(F.desc(F.round("mean_f1", 12)), F.round("mean_false_rate", 12), "tau").limit(1)
+
+
 def rates() -> dict[str, Column]:
     return quality() | {
         "specificity": safe_div("tn", F.col("tn") + F.col("fp")), "fpr": safe_div("fp", F.col("fp") + F.col("tn")), "fnr": safe_div("fn", F.col("fn") + F.col("tp")),

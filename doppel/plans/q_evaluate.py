@@ -107,6 +107,12 @@ MET = f"SELECT method, loss_rate, tau, day, {CONF}, count(*) total_events, avg(x
 MQ = f"SELECT *, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END p, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END r FROM met"
 
 
+@query("w7_production_threshold", sql("SELECT tau, round(avg(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END), 9) mean_f1, round(avg(fp / total_events), 9) mean_false_rate FROM mq WHERE loss_rate = 0 AND method = 'm0' GROUP BY tau ORDER BY round(avg(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END), 12) DESC, round(avg(fp / total_events), 12), tau LIMIT 1", met=MET, mq=MQ))
+def w7p(spark, sf):
+    rows = metric_rows(spark, sf).filter("loss_rate = 0 and method = 'm0'").withColumns(evaluate.quality()).withColumn("false_rate", F.col("fp") / F.col("total_events"))
+    return rounded(evaluate.production_threshold(rows))
+
+
 @query("a10_loss_means", sql("SELECT method, loss_rate, tau, round(avg(p), 9) AS precision, round(avg(r), 9) AS recall, round(avg(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END), 9) f1 FROM mq GROUP BY ALL", met=MET, mq=MQ))
 def a10(spark, sf):
     rows = metric_rows(spark, sf).withColumns(evaluate.quality())

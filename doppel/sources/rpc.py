@@ -30,14 +30,14 @@ def retryable(status: int | None, error: dict | None) -> bool:
     return (error or {}).get("code") == 30 or "timeout" in message or "rate" in message
 
 
-def call(url: str, requests: list[tuple[str, list]], key: str | None = None, send: Callable | None = None, wait: Callable[[float], None] = time.sleep) -> list:
+def call(url: str, requests: list[tuple[str, list]], key: str | None = None, send: Callable | None = None, wait: Callable[[float], None] = time.sleep, tries: int = TRIES, pause: Callable[[int], float] = backoff) -> list:
     """Results of a batch, in its order; None for what fails for good."""
     send = send or _post
     out: list = [None] * len(requests)
     todo = list(range(len(requests)))
-    for n in range(TRIES):
+    for n in range(tries):
         if n:
-            wait(backoff(n - 1))
+            wait(pause(n - 1))
         body = [{"jsonrpc": "2.0", "id": k, "method": requests[k][0], "params": requests[k][1]} for k in todo]
         status, answer = send(url, body, key)
         if status != 200:
@@ -83,7 +83,19 @@ def block_rows(block: dict | None) -> Iterator[tuple]:
     if not block:
         return
     for tx in block.get("transactions", []):
-        yield int(block["number"], 16), block.get("hash"), int(block["timestamp"], 16), tx.get("hash"), tx.get("from"), tx.get("to"), tx.get("input"), tx.get("value"), tx.get("nonce")
+        yield int(block["number"], 16), block.get("hash"), int(block["timestamp"], 16), tx.get("hash"), tx.get("from"), tx.get("to"), tx.get("input"), tx.get("value"), tx.get("nonce"), None
+
+
+def failed_row(number: int) -> tuple:
+    """What stands for a block that no answer came for."""
+    return (number, *[None] * 8, "no answer")
+
+
+def scanned(rows) -> tuple:
+    """Transactions of a block scan, and the numbers of the blocks that failed: an incomplete scan can be told."""
+    from pyspark.sql import functions as F
+
+    return rows.filter(F.col("error").isNull()).drop("error"), rows.filter(F.col("error").isNotNull()).select("block_number", "error")
 
 
 def sequential(last: int, latest: int) -> range:
@@ -107,8 +119,12 @@ class BlockReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[tuple]:
         send = recorded(self.options["file"]) if "file" in self.options else None
         requests = [("eth_getBlockByNumber", [hex(n), True]) for n in range(partition.start, partition.end + 1)]
-        for block in call(self.options.get("url", ""), requests, self.options.get("key"), send):
-            yield from block_rows(block)
+        answers = call(self.options.get("url", ""), requests, self.options.get("key"), send)
+        for n, block in zip(range(partition.start, partition.end + 1), answers, strict=True):
+            if block:
+                yield from block_rows(block)
+            else:
+                yield failed_row(n)
 
 
 class BlockStream(SimpleDataSourceStreamReader):
@@ -148,7 +164,7 @@ class BlockSource(DataSource):
         return "rpc_blocks"
 
     def schema(self) -> str:
-        return "block_number long, block_hash string, block_seconds long, tx_hash string, from_addr string, to_addr string, input string, value string, nonce string"
+        return "block_number long, block_hash string, block_seconds long, tx_hash string, from_addr string, to_addr string, input string, value string, nonce string, error string"
 
     def reader(self, schema) -> BlockReader:
         return BlockReader(self.options)
@@ -220,3 +236,43 @@ def transfer_logs(victims, start: int, end: int, options: dict, column: str = "v
         return [(victim, x["transactionHash"], x["address"], x["topics"][2 - side][-40:], x["data"], int(x["blockNumber"], 16)) for side, logs in enumerate(answers) for x in logs or []]
 
     return _lookup(victims, column, requests, options, "victim string, tx_hash string, token string, other string, amount_hex string, block_number long", row)
+
+
+#: Tries of a pending transaction, and the milliseconds before each further one, times its number.
+PENDING_TRIES, PENDING_WAIT_MS = 3, 150
+
+
+def pending_transactions(hashes, options: dict, column: str = "hash", wait: Callable[[float], None] = time.sleep):
+    """(hash, fetch_ok, fetch_attempts, from_addr, to_addr, input, value, nonce, error) of transactions told by hash only.
+
+    A transaction that a node doesn't know yet is asked for again, with those of its batch that are still missing."""
+    import pandas as pd
+
+    def run(frames: Iterator) -> Iterator:
+        send = recorded(options["file"]) if "file" in options else None
+        for frame in frames:
+            keys = frame[column].tolist()
+            for i in range(0, len(keys), LOOKUP_BATCH):
+                todo, rows = keys[i : i + LOOKUP_BATCH], {}
+                for n in range(1, PENDING_TRIES + 1):
+                    answers = call(options.get("url", ""), [("eth_getTransactionByHash", [h]) for h in todo], options.get("key"), send, wait, tries=1)
+                    for h, tx in zip(todo, answers, strict=True):
+                        ok = bool(tx and tx.get("hash"))
+                        rows[h] = (h, ok, n, *((tx.get(c) for c in ("from", "to", "input", "value", "nonce")) if ok else [None] * 5), "" if ok else "empty tx result")
+                    todo = [h for h in todo if not rows[h][1]]
+                    if not todo:
+                        break
+                    wait(PENDING_WAIT_MS * n / 1000)
+                yield pd.DataFrame(list(rows.values()), columns=["hash", "fetch_ok", "fetch_attempts", "from_addr", "to_addr", "input", "value", "nonce", "error"])
+
+    return hashes.select(column).distinct().mapInPandas(run, "hash string, fetch_ok boolean, fetch_attempts int, from_addr string, to_addr string, input string, value string, nonce string, error string")
+
+
+def receipts(hashes, options: dict, column: str = "hash"):
+    """(hash, block_number, succeeded) of transactions that are in a block; others have nulls."""
+
+    def row(tx: str, answers: list) -> list[tuple]:
+        r = answers[0] or {}
+        return [(tx, int(r["blockNumber"], 16) if r.get("blockNumber") else None, r.get("status") == "0x1" if r.get("status") else None)]
+
+    return _lookup(hashes, column, lambda tx: [("eth_getTransactionReceipt", [tx])], options, "hash string, block_number long, succeeded boolean", row)

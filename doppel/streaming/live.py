@@ -6,6 +6,7 @@ stream; inclusion is a stream-stream join with a watermark; sender-nonce state i
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterable
 
 import pandas as pd
@@ -155,11 +156,28 @@ def stream_inclusion(blocks: DataFrame, pending: DataFrame, retention_hours: int
     return b.join(p, near, "leftOuter").withColumn("seen", F.col("seen_at").isNotNull())
 
 
-def run_detector(feed: DataFrame, cps: DataFrame, cfg: DetectorConfig, sink, checkpoint: str, every: str = "30 seconds"):
+class Settings:
+    """Settings that may be changed while a detector runs; the next micro-batch uses them."""
+
+    def __init__(self, cfg: DetectorConfig) -> None:
+        self._cfg, self._lock = cfg, threading.Lock()
+
+    def get(self) -> DetectorConfig:
+        with self._lock:
+            return self._cfg
+
+    def apply(self, cfg: DetectorConfig) -> None:
+        with self._lock:
+            self._cfg = cfg
+
+
+def run_detector(feed: DataFrame, cps: DataFrame, cfg: DetectorConfig | Settings, sink, checkpoint: str, every: str = "30 seconds"):
     """Starts the detector on a stream; `sink` gets each micro-batch of alerts and its number, once committed batches are skipped by the checkpoint."""
     from doppel.operators.detect import best
 
+    settings = cfg if isinstance(cfg, Settings) else Settings(cfg)
+
     def batch(df: DataFrame, epoch: int) -> None:
-        sink(best(df, "event_id", "hash", "victim", "lookalike", "recipient"), epoch)
+        sink(best(detect_live(df, cps, settings.get()), "event_id", "hash", "victim", "lookalike", "recipient"), epoch)
 
-    return detect_live(feed, cps, cfg).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(batch).start()
+    return feed.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(batch).start()

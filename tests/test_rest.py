@@ -210,3 +210,111 @@ def test_counterparties(spark):
     got = accounts.build(labels).collect()
     assert len(got) == 1 and got[0].observed_freq == 2 and got[0].last_seen == dt.datetime(2015, 7, 30)
     assert evaluate.rollup(spark.createDataFrame([("m", 1, 0, 0, 1), ("m", 0, 1, 1, 0)], "method string, tp int, fp int, fn int, tn int"), "method").first().f1 == 0.5
+
+
+def test_dump_blocks(spark, tmp_path):
+    fields = ["7", "0xabc", "0x" + "3" * 40, "0x" + "1" * 40, "0x" + "2" * 40, "t", "5", "5", "t", *["f"] * 6, "0x" + "2" * 40, "0", "0"]
+    row = lambda n: "\t".join([str(n), *fields[1:]])
+    lines = [row(1), "COPY public.other (a) FROM stdin;", row(2), "\\.", "COPY public.labels (a) FROM stdin;", row(3), "a\tb", row(4), "\\.", row(5), "COPY public.labels_old (a) FROM stdin;", row(6), "\\."]
+    (tmp_path / "d.sql").write_text("\n".join(lines))
+    got = files.read_sql_dump(spark, str(tmp_path / "d.sql"), "public.labels")
+    assert sorted(r.block_number for r in got.collect()) == [3, 4]
+    assert [r.block_number for r in files.read_sql_dump(spark, str(tmp_path / "d.sql"), "public.labels", 1).collect()] == [3]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    try:
+        assert sorted(r.block_number for r in got.select("*").collect()) == [3, 4]
+        assert sorted(r.block_number for r in files.read_sql_dump(spark, str(tmp_path / "d.sql"), "public.labels").collect()) == [3, 4]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_scan_tells_failed_blocks(spark, tmp_path):
+    import json
+
+    block = lambda n: {"number": hex(n), "hash": f"0xb{n}", "timestamp": "0x10", "transactions": [{"hash": f"0x{n}", "from": "a", "to": "b", "input": "0x", "value": "0x0", "nonce": "0x1"}]}
+    path = tmp_path / "answers.json"
+    path.write_text(json.dumps({f'eth_getBlockByNumber|["{hex(n)}", true]': block(n) for n in (2, 4)} | {'eth_getTransactionByHash|["0x2"]': {"hash": "0x2", "from": "a"}, 'eth_getTransactionReceipt|["0x2"]': {"blockNumber": "0x2", "status": "0x1"}}))
+    spark.dataSource.register(rpc.BlockSource)
+    txs, failed = rpc.scanned(spark.read.format("rpc_blocks").option("file", str(path)).option("start", 2).option("end", 5).load())
+    assert sorted(r.tx_hash for r in txs.collect()) == ["0x2", "0x4"] and sorted(r.block_number for r in failed.collect()) == [3, 5]
+    asked = spark.createDataFrame([("0x2",), ("0x9",)], "hash string")
+    got = {r.hash: r for r in rpc.pending_transactions(asked, {"file": str(path)}).collect()}
+    assert (got["0x2"].fetch_ok, got["0x2"].fetch_attempts, got["0x2"].from_addr) == (True, 1, "a") and (got["0x9"].fetch_ok, got["0x9"].fetch_attempts, got["0x9"].error) == (False, 3, "empty tx result")
+    assert {r.hash: (r.block_number, r.succeeded) for r in rpc.receipts(asked, {"file": str(path)}).collect()} == {"0x2": (2, True), "0x9": (None, None)}
+
+
+def test_subscription_reconnects_and_holds_back():
+    import base64
+    import hashlib
+    import json
+    import socket
+    import struct
+    import threading
+    import time
+
+    from doppel.sources import subscription as sub
+
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def frame(text, kind=1):
+        raw = text.encode()
+        return bytes([0x80 | kind]) + (bytes([len(raw)]) if len(raw) < 126 else bytes([126]) + struct.pack(">H", len(raw))) + raw
+
+    def serve():
+        for n in (0, 1):
+            conn, _ = server.accept()
+            head = b""
+            while b"\r\n\r\n" not in head:
+                head += conn.recv(4096)
+            key = next(x.split(b": ")[1] for x in head.split(b"\r\n") if x.startswith(b"Sec-WebSocket-Key"))
+            conn.sendall(b"HTTP/1.1 101 Switching Protocols\r\nSec-WebSocket-Accept: " + base64.b64encode(hashlib.sha1(key + sub.MAGIC.encode()).digest()) + b"\r\n\r\n")
+            conn.recv(4096)
+            conn.sendall(frame(json.dumps({"id": 1, "result": "0xsub"})) + frame("ping", 9) + frame("no json"))
+            for k in range(3):
+                conn.sendall(frame(json.dumps({"method": "eth_subscription", "params": {"result": f"0x{n}{k}" + "e" * 200 * k}})))
+            time.sleep(0.5)
+            conn.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    reader = sub.PendingStream({"url": f"ws://127.0.0.1:{server.getsockname()[1]}", "buffer": "2", "per_batch": "2"})
+    at, seen = reader.initialOffset(), []
+    until = time.time() + 20
+    while len(seen) < 6 and time.time() < until:
+        rows, end = reader.read(at)
+        rows = list(rows)
+        assert len(rows) <= 2 and list(reader.readBetweenOffsets(at, end)) == rows
+        seen, at = seen + rows, end
+        time.sleep(0.05)
+    reader.feed.close()
+    reader.commit(at)
+    assert [r[0] for r in seen] == list(range(6)) and [json.loads(r[2])[:4] for r in seen] == ["0x00", "0x01", "0x02", "0x10", "0x11", "0x12"] and at["reconnects"] == 1 and not reader.kept
+    assert sub.payload('{"method": "x"}') is None and sub.payload('{"method": "eth_subscription", "params": {"result": {"hash": "0x1"}}}') == '{"hash": "0x1"}'
+
+
+def test_live_files_and_runs(spark, tmp_path):
+    import json
+
+    from doppel.config import DetectorConfig
+    from doppel.sources import live_files as lf
+
+    assert len(lf.EVENT_COLUMNS) == 29 and len(lf.BLOCK_COLUMNS) == 12
+    rows = spark.createDataFrame([(T0, "0x1", True, 1.5, None)], "observed_at timestamp, tx_hash string, fetch_ok boolean, fetch_latency_ms double, error string")
+    lf.write_events(rows, str(tmp_path / "events"))
+    got = spark.read.option("header", True).csv(str(tmp_path / "events")).first()
+    assert (got["observed_at"], got["tx_hash"], got["fetch_ok"], got["fetch_latency_ms"], got["gas"]) == ("2026-01-01T00:00:00.000000Z", "0x1", "true", "1.500000", None)
+    (tmp_path / "accounts.json").write_text("[]")
+    found = lf.manifest(spark, DetectorConfig(), {"blocks": 3}, {"accounts": str(tmp_path / "accounts.json"), "gone": str(tmp_path / "gone")})
+    assert found["sha256"]["accounts"] == "4f53cda18c2baa0c0354bb5f9a3ecbe5ed12ab4d8e11ba873c2f11161202b945" and "gone" in found["sha256_errors"] and found["blocks"] == 3
+    lf.write_manifest(spark, found, str(tmp_path / "manifest"))
+    assert json.loads(spark.read.text(str(tmp_path / "manifest")).first()[0])["config_sha256"] == found["config_sha256"]
+    (tmp_path / "summary_a.json").write_text('{"metrics": {"method": "linear_scan"}}')
+    (tmp_path / "summary_b.json").write_text("nothing")
+    assert [r.method for r in lf.discover_runs(spark, str(tmp_path / "summary_*.json")).collect()] == ["linear_scan"]
+
+
+def test_settings_change_while_running():
+    from doppel.config import DetectorConfig
+
+    held = live.Settings(DetectorConfig())
+    held.apply(DetectorConfig(tau=0.5))
+    assert held.get().tau == 0.5
