@@ -132,9 +132,11 @@ def u4(spark, sf):
     return rows.filter(values.is_poisoning()).select("tx_hash", F.lit(True).alias("pos")).unionByName(accounts.trusted_rows(rows).select("tx_hash", F.lit(False).alias("pos")))
 
 
-@query("u5_first_insert_wins", sql("SELECT victim, recipient FROM cps GROUP BY ALL", "cps"))
+@query("u5_first_insert_wins", sql("SELECT victim, recipient, first.token AS token, epoch_us(first.last_seen) AS seen_us FROM (SELECT victim, recipient, min({'last_seen': last_seen, 'token': token}) AS first FROM cps GROUP BY ALL)", "cps"))
 def u5(spark, sf):
-    return fx.counterparties(spark, sf).select("victim", "recipient").dropDuplicates()
+    """Of rows with one key the earliest is kept, those that come later are ignored."""
+    first = fx.counterparties(spark, sf).groupBy("victim", "recipient").agg(F.min(F.struct("last_seen", "token")).alias("first"))
+    return first.select("victim", "recipient", "first.token", F.unix_micros("first.last_seen").alias("seen_us"))
 
 
 @query("u6_relevant_first", sql("SELECT event_id, CASE WHEN victim_hint IN (SELECT victim FROM v) THEN 0 ELSE 1 END later FROM ev", "ev", "cps", v="SELECT victim FROM cps WHERE victim < '4' GROUP BY victim"))
@@ -176,18 +178,32 @@ def w14(spark, sf):
     return fx.events(spark, sf).select("event_id", "hash").orderBy(F.desc("event_id")).limit(25)
 
 
-@query("rnd1_reservoir_sample")
+BENIGN = f"SELECT * FROM labels_ WHERE intended_transfer AND NOT ({POISON}) AND NOT payoff_transfer AND NOT payoff_transfer_unconfirmed"
+DRAW = "(CAST('0x' || left(sha256({} || ':{}'), 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE"
+WANTED = f"SELECT greatest(200, CAST(floor(count(*) * 0.35::DOUBLE) AS BIGINT)) n FROM labels_ WHERE {POISON}"
+
+
+def benign(spark, sf):
+    """The benign rows, and how many of them go with the poisoning ones: 35 % as many, 200 at least."""
+    rows = fx.label_rows(spark, sf)
+    poisoning = rows.filter(values.is_poisoning()).count()
+    pool = rows.filter(F.col("intended_transfer") & ~values.is_poisoning() & ~F.col("payoff_transfer") & ~F.col("payoff_transfer_unconfirmed"))
+    return pool, max(200, int(poisoning * 0.35))
+
+
+@query("rnd1_reservoir_sample", sql(f"SELECT tx_hash FROM (SELECT tx_hash, row_number() OVER (ORDER BY {DRAW.format('tx_hash', 42)}, tx_hash) k FROM benign), wanted WHERE k <= greatest(10 * n, 2000)", "labels_", benign=BENIGN, wanted=WANTED))
 def rnd1(spark, sf):
-    return stats.hash_sample(accounts.trusted_rows(fx.label_rows(spark, sf)), "tx_hash", 2000).select("tx_hash")
+    """The pool: ten times what is wanted, 2000 at least."""
+    pool, n = benign(spark, sf)
+    return stats.hash_sample(pool, "tx_hash", max(10 * n, 2000)).select("tx_hash")
 
 
-@query("rnd2_benign_sample_visibility")
+@query("rnd2_benign_sample_visibility", sql(f"SELECT tx_hash, {DRAW.format('tx_hash', 43)} >= 0.1 AS visible FROM (SELECT tx_hash, row_number() OVER (ORDER BY {DRAW.format('tx_hash', 42)}, tx_hash) k FROM benign), wanted WHERE k <= n", "labels_", benign=BENIGN, wanted=WANTED))
 def rnd2(spark, sf):
-    rows = stats.hash_sample(accounts.trusted_rows(fx.label_rows(spark, sf)), "tx_hash", 500)
-    draw = F.pmod(F.xxhash64("tx_hash", F.lit(42)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.select("tx_hash", (draw >= 0.1).alias("visible"))
+    pool, n = benign(spark, sf)
+    return stats.hash_sample(pool, "tx_hash", n).select("tx_hash", (stats.draw("tx_hash", seed=43) >= 0.1).alias("visible"))
 
 
-@query("rnd3_per_class_sample")
+@query("rnd3_per_class_sample", sql(f"SELECT event_id, is_poisoning FROM ev QUALIFY row_number() OVER (PARTITION BY is_poisoning ORDER BY {DRAW.format('CAST(event_id AS VARCHAR)', 42)}, event_id) <= 300", "ev"))
 def rnd3(spark, sf):
     return stats.per_class_sample(fx.events(spark, sf), "is_poisoning", "event_id", 300).select("event_id", "is_poisoning")

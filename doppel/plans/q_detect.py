@@ -24,10 +24,10 @@ def shape(df):
     return df.select("event_id", "hash", "victim", "lookalike", "recipient", "token", F.col("ap").alias("matched_prefix"), F.col("as_").alias("matched_suffix"), F.round("s_addr", 9).alias("s_addr"), "s_type", "s_token", F.round("total", 9).alias("total"), "n_scored")
 
 
-def method(name: str, of: str, ctes: dict[str, str], *, where: str = "rn = 1 AND total >= 0.901"):
+def method(name: str, of: str, ctes: dict[str, str], *, where: str = "rn = 1 AND total >= 0.901", cfg: DetectorConfig = CFG):
     @query(name, sql(f"SELECT {OUT} FROM best WHERE {where}", "pairs", "cps", "meta", **ctes))
     def run(spark, sf):
-        return shape(detect.alerts(*three(spark, sf), CFG, of))
+        return shape(detect.alerts(*three(spark, sf), cfg, of))
 
 
 PAIRED = f"SELECT p.*, c.recipient, c.token, c.token_symbol, c.token_name, c.last_seen, c.observed_freq, c.metadata_missing, {sp.lcp('p.lookalike', 'c.recipient')} ap, {sp.lcs('p.lookalike', 'c.recipient')} as_ FROM pairs p JOIN cps c USING (victim)"
@@ -41,7 +41,7 @@ method("j4_prefix_only", "prefix_only", sp.alert_ctes("ap >= 3", addr_="(ap / 6.
 method("j4_suffix_only", "suffix_only", sp.alert_ctes("as_ >= 3", addr_="(as_ / 6.0::DOUBLE)"))
 method("j5_linear_scan", "linear_scan", sp.alert_ctes("true"))
 method("j6_key_index", "key_index", sp.alert_ctes())
-method("m_address_only", "address_only", sp.alert_ctes(total=sp.logistic(W0 + 0.25 * W1 + 0.20 * W2, 0.0, 0.0)))
+method("m_address_only", "address_only", sp.alert_ctes(total=sp.logistic(W0 + 0.25 * W1 + 0.20 * W2, 0.0, 0.0)), where="rn = 1 AND total >= 0.1", cfg=CFG.replace(tau=0.1))  # its scores end at 0.16
 method("m_no_type", "no_type", sp.alert_ctes(total=sp.logistic(W0 + 0.25 * W1, 0.0, W2)))
 method("m_no_token", "no_token", sp.alert_ctes(total=sp.logistic(W0 + 0.20 * W2, W1, 0.0)))
 method("m_no_time", "no_time", sp.alert_ctes())

@@ -268,13 +268,37 @@ def a24(spark, sf):
     return got.select("total_events", "method", *(F.round(c, 6).alias(c) for c in ("ms_mean", "ms_std", "ms_p95")))
 
 
-@query("ml9_paired_statistics")
+STEPS = " + ".join(f"(u > {x!r}::DOUBLE)::INT" for x in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402))
+BOOT = {
+    "met": MET, "daily": "SELECT method, day, sum(tp) tp, sum(fp) fp, sum(fn) fn FROM met GROUP BY ALL",
+    "drawn": f"SELECT method, b, tp, fp, fn, {STEPS} w FROM (SELECT *, (CAST('0x' || left(sha256(method || ':' || day || ':' || CAST(b AS VARCHAR) || ':42'), 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE u FROM daily, range(1, 10001) r(b))",
+    "rounds": "SELECT method, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END p, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END r FROM (SELECT method, b, sum(tp * w) tp, sum(fp * w) fp, sum(fn * w) fn FROM drawn GROUP BY ALL)",
+    "boot": "SELECT method, " + ", ".join(f"round(quantile_cont({e}, {q}), 9) {n}_{side}" for n, e in (("precision", "p"), ("recall", "r"), ("f1", "CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END")) for side, q in (("low", 0.025), ("high", 0.975))) + " FROM rounds GROUP BY method",
+}
+PAIRED = {
+    "f": "SELECT method, day, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END f1 FROM (SELECT method, day, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END p, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END r FROM daily)",
+    "ranked": "SELECT method, d, rank() OVER (PARTITION BY method ORDER BY abs(d)) + (count(*) OVER (PARTITION BY method, abs(d)) - 1) / 2.0::DOUBLE r FROM (SELECT a.method, a.f1 - b.f1 d FROM f a JOIN f b USING (day) WHERE b.method = 'm0' AND a.method <> 'm0') WHERE d <> 0",
+    "zs": "SELECT *, (w_plus - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE) z FROM (SELECT method, count(*) n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) w_plus FROM ranked GROUP BY method)",
+    "ps": "SELECT *, least(1.0, 2 * exp(-z * z / 2) / sqrt(2 * pi()) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429::DOUBLE))))) p FROM (SELECT *, 1 / (1 + 0.2316419::DOUBLE * abs(z)) t FROM zs)",
+    "tested": "SELECT method, n, w_plus, round(z, 6) z, round(p, 6) p, round(least(1.0, max(p * (m - k + 1)) OVER (ORDER BY p, method ROWS UNBOUNDED PRECEDING)), 6) p_holm FROM (SELECT *, count(*) OVER () m, row_number() OVER (ORDER BY p, method) k FROM ps)",
+}
+
+
+def intervals(spark, sf):
+    """Bounds of each method's precision, recall and F1 over resampled days."""
+    daily = metric_rows(spark, sf).groupBy("method", "day").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    got = stats.bootstrap_counts(daily, ["method"], 10_000)
+    return daily, got.select("method", *(F.round(F.col(f"{c}_ci")[k], 9).alias(f"{c}_{side}") for c in ("precision", "recall", "f1") for k, side in enumerate(("low", "high"))))
+
+
+@query("ml9_paired_statistics", sql("SELECT * FROM boot LEFT JOIN tested USING (method)", **BOOT, **PAIRED))
 def ml9(spark, sf):
-    """Bootstrap interval of each method's F1 over days, and its signed-rank test against m0, Holm-corrected."""
-    rows = metric_rows(spark, sf).groupBy("method", "day").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))).withColumns(evaluate.quality())
+    """Bootstrap intervals over days, and the signed-rank test of each method's F1 against m0, Holm-corrected."""
+    daily, bounds = intervals(spark, sf)
+    rows = daily.withColumns(evaluate.quality())
     base = rows.filter("method = 'm0'").select("day", F.col("f1").alias("f1_base"))
     test = stats.holm(stats.signed_rank(rows.filter("method <> 'm0'").join(base, "day"), "f1", "f1_base", "method").withColumn("all", F.lit(1)), "p", "all", tie="method").drop("all")
-    return stats.bootstrap_counts(rows, ["method"], 200).join(test, "method", "left")
+    return bounds.join(test.select("method", "n", "w_plus", *(F.round(c, 6).alias(c) for c in ("z", "p", "p_holm"))), "method", "left")
 
 
 @query("ml10_signed_rank", sql("SELECT method, n, w_plus, round((w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0), 6) z FROM (SELECT method, count(*) n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) w_plus FROM (SELECT method, d, rank() OVER (PARTITION BY method ORDER BY abs(d)) + (count(*) OVER (PARTITION BY method, abs(d)) - 1) / 2.0::DOUBLE r FROM (SELECT a.method, CAST(a.tp - b.tp AS DOUBLE) d FROM t a JOIN t b USING (day) WHERE b.method = 'm0' AND a.method <> 'm0') WHERE d <> 0) GROUP BY method)", met=MET, t="SELECT method, day, CAST(sum(tp) AS BIGINT) tp FROM met GROUP BY ALL"))
@@ -284,6 +308,13 @@ def ml10(spark, sf):
     return stats.signed_rank(rows.filter("method <> 'm0'").join(base, "day"), "tp", "b", "method").select("method", "n", "w_plus", F.round("z", 6).alias("z"))
 
 
-@query("rnd4_bootstrap_intervals")
+@query("rnd4_bootstrap_intervals", sql("SELECT * FROM boot", **BOOT))
 def rnd4(spark, sf):
-    return stats.bootstrap_counts(metric_rows(spark, sf).groupBy("method", "day").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))), ["method"], 500)
+    return intervals(spark, sf)[1]
+
+
+@query("rnd4_bca_intervals")
+def rnd4_bca(spark, sf):
+    """Bias-corrected intervals of the mean F1 of each method's runs: a few means a method, resampled on the driver."""
+    means = metric_rows(spark, sf).withColumns(evaluate.quality()).groupBy("method", "tau").agg(F.avg("f1").alias("f1")).groupBy("method").agg(F.sort_array(F.collect_list("f1")).alias("f1")).collect()
+    return spark.createDataFrame([(r["method"], *stats.bca_interval(list(r["f1"]))) for r in means], "method string, f1_low double, f1_high double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from doppel.config import DetectorConfig
@@ -9,6 +10,7 @@ from doppel.functions import address, scoring, values
 from doppel.operators import detect, evaluate, features
 from doppel.plans import fixture as fx
 from doppel.plans import sqlparts as sp
+from doppel.operators import display_ann
 from doppel.plans.registry import query
 from doppel.plans.sqlparts import sql
 
@@ -180,7 +182,7 @@ def f31(spark, sf):
     return features.with_splits(rows).select("event_id", F.col("split_time").alias("split"))
 
 
-@query("f32_abi_decode")
+@query("f32_abi_decode", "SELECT event_id, CAST(event_id AS DOUBLE) n, event_type dynamic, event_type static, event_type FROM events")
 def f32(spark, sf):
     """Numbers and texts as ABI words, and back."""
     e = fx.table(spark, sf, "events")
@@ -231,19 +233,29 @@ def f40(spark, sf):
     return look(spark, sf).select("k", F.array_join(code, ",").alias("code"), address.code_distance(code, address.display_code("r0")).alias("differing"), F.aggregate(address.one_hot(code), F.lit(0), lambda s, x: s + x).alias("ones"))
 
 
-@query("f41_random_projection")
-def f41(spark, sf):
-    """The 80 projections of each look-alike's code, as sums of weights by place and digit."""
-    from doppel.operators import display_ann
+PROJECTIONS = [f"p{t}_{d}" for t in range(display_ann.TABLES) for d in range(display_ann.DIMS)]
 
-    w = display_ann.weights().astype(float)
-    code = address.display_code("lookalike")
-    table = F.lit(w[0, 0].reshape(-1).tolist())
-    value = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda p: F.get(table, p * 16 + F.get(F.col("code"), p))), F.lit(0.0), lambda s, x: s + x)
-    return look(spark, sf).select("k", code.alias("code")).select("k", r9(value).alias("projection"))
 
+def projection_sql() -> str:
+    """The weights as literals: for each projection 12 x 16 of them."""
+    w = display_ann.weights().astype(float).reshape(len(PROJECTIONS), display_ann.CODE, 16)
+    digits = [f"CAST('0x' || substr(lookalike, {p}, 1) AS INT) + 1" for p in (1, 2, 3, 4, 5, 6, 35, 36, 37, 38, 39, 40)]
+    cols = (" + ".join(f"[{', '.join(f'{x!r}::DOUBLE' for x in row)}][{d}]" for row, d in zip(table.tolist(), digits, strict=True)) for table in w)
+    return ", ".join(f"round({c}, 4) AS {name}" for c, name in zip(cols, PROJECTIONS, strict=True))
+
+
+@query("f41_random_projection", sql(f"SELECT k, {projection_sql()} FROM base", "base"))
+def f41(spark, sf):
+    """The 80 projections of each look-alike's code."""
+
+    def run(batches):
+        w = display_ann.weights().astype(float)
+        for b in batches:
+            got = display_ann.project(display_ann.codes(b.column(1).to_pylist()), w).reshape(b.num_rows, len(PROJECTIONS))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in got.T)], names=["k", *PROJECTIONS])
 
-# ---------------------------------------------------------------- predicates
+    got = look(spark, sf).select("k", "lookalike").mapInArrow(run, "k long, " + ", ".join(f"{n} double" for n in PROJECTIONS))
+    return got.select("k", *(F.round(n, 4).alias(n) for n in PROJECTIONS))
 
 
 @query("p1_victim_pairs", sql("SELECT event_id, victim, lookalike FROM pairs WHERE victim IN (SELECT victim FROM cps)", "pairs", "cps"))
