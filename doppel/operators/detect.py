@@ -75,9 +75,10 @@ def by_deepest_node(pairs: DataFrame, cps: DataFrame, cfg: DetectorConfig) -> Da
     """Histories of the recipients that share the longest prefix, or suffix, of all of the victim's recipients, expired ones too."""
     # at least one digit is shared: the equi-join on first or last digit leaves out the rest
     first = cfg.replace(min_prefix_depth=1, min_suffix_depth=1)
-    got = by_posting_list(pairs, cps, first).drop("in_p", "in_s")
-    w = Window.partitionBy("event_id", "victim", "lookalike")
-    got = got.withColumns({"_mp": F.max("ap").over(w), "_ms": F.max("as_").over(w)})
+    # the depths come from addresses alone, so that no history is shuffled to be compared
+    names, own = cps.select("victim", "recipient").distinct(), ["event_id", "victim", "lookalike"]
+    depths = by_posting_list(pairs.select(*own), names, first).groupBy(*own).agg(F.max("ap").alias("_mp"), F.max("as_").alias("_ms"))
+    got = by_posting_list(pairs.join(depths, own), cps, first).drop("in_p", "in_s")
     sides = {"in_p": (F.col("_mp") > 0) & (F.col("ap") == F.col("_mp")), "in_s": (F.col("_ms") > 0) & (F.col("as_") == F.col("_ms"))}
     return got.withColumns(sides).filter("in_p or in_s").drop("_mp", "_ms")
 
