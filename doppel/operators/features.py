@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -380,45 +381,72 @@ def _measures(r) -> tuple:
 MEASURES = "tau double, tp long, fp long, fn long, tn long, precision double, recall double, f1 double"
 
 
-def search_formulas(rows: DataFrame, bins: int = 1001, split: str = "split_time", top: int = 200, report: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Formulas searched on the validation split.
-
-    1. (place, name, measures, same_address_f1, margins): every formula at its best threshold, against the best baseline, the
-       address score that it uses, and the better of both (the fair ceiling).
-    2. (place, name, ablation, measures, full_margin_vs_best_ablation): the `top` formulas by margin, in parts and against baselines.
-    3. The same of the `report` best by that last margin, on the test split.
-    Ties are broken by place in the grid. What the driver holds are counts of formulas, whatever the rows."""
-    spark, grid = rows.sparkSession, formula_grid()
-    val, test = (rows.filter(F.col(split) == x) for x in ("val", "test"))
-    alone = {(f.addr_mode, f.alpha, f.gamma): f for f in reversed(grid)}
-    jobs = [(f.name, f, "") for f in grid] + [(n, None, n) for n in BASELINES] + [("", f, "context") for f in alone.values()]
-    found = best_of_jobs(val, jobs, bins)
-    schema = f"place int, name string, {MEASURES}, same_address_f1 double, margin_vs_baseline double, margin_vs_same_address double, margin_vs_fair_ceiling double"
-    parts = f"place int, name string, ablation string, {MEASURES}, full_margin_vs_best_ablation double"
-    if not found:
-        return spark.createDataFrame([], schema), spark.createDataFrame([], parts), spark.createDataFrame([], parts)
-    base = found[len(grid) : len(grid) + len(BASELINES)]
-    ceiling = max(r["f1"] for r in base)
-    same = dict(zip(alone, found[len(grid) + len(BASELINES) :], strict=True))
-    table = []
-    for k, f in enumerate(grid):
-        own, f1 = same[(f.addr_mode, f.alpha, f.gamma)]["f1"], found[k]["f1"]
-        table.append((k, f.name, *_measures(found[k]), own, f1 - ceiling, f1 - own, f1 - max(ceiling, own)))
-    ranked = sorted(range(len(grid)), key=lambda k: (-table[k][-1], -table[k][-2], -found[k]["f1"], k))[:top]
-
-    def taken_apart(data: DataFrame, which: list[int], full: dict, of_base: list, of_same: dict) -> list[tuple]:
-        got = best_of_jobs(data, [(grid[k].name, grid[k], c) for k in which for c in ABLATIONS], bins)
+class FormulaSearch:
+    """Formulas searched on the validation split; each part is computed when it is asked for.
+
+    What the driver holds are counts of formulas, whatever the rows. Ties are broken by place in the grid."""
+
+    PARTS = f"place int, name string, ablation string, {MEASURES}, full_margin_vs_best_ablation double"
+
+    def __init__(self, rows: DataFrame, bins: int = 1001, split: str = "split_time", top: int = 200, report: int = 10) -> None:
+        self.spark, self.bins, self.top, self.report, self.grid = rows.sparkSession, bins, top, report, formula_grid()
+        self.rows = {x: rows.filter(F.col(split) == x) for x in ("val", "test")}
+        self.alone = {self.address(k): f for k, f in reversed(list(enumerate(self.grid)))}
+
+    def address(self, k: int) -> tuple:
+        f = self.grid[k]
+        return f.addr_mode, f.alpha, f.gamma
+
+    def full(self, split: str, which: list[int]) -> tuple[dict, list, dict]:
+        """The best thresholds of formulas, of the baselines and of the address scores alone."""
+        jobs = [(self.grid[k].name, self.grid[k], "") for k in which] + [(n, None, n) for n in BASELINES] + [("", f, "context") for f in self.alone.values()]
+        found = best_of_jobs(self.rows[split], jobs, self.bins)
+        if not found:
+            return {}, [], {}
+        rest = found[len(which) :]
+        return dict(zip(which, found, strict=False)), rest[: len(BASELINES)], dict(zip(self.alone, rest[len(BASELINES) :], strict=True))
+
+    @functools.cached_property
+    def validated(self) -> tuple[dict, list, dict]:
+        return self.full("val", list(range(len(self.grid))))
+
+    @functools.cached_property
+    def margins(self) -> list[tuple]:
+        found, base, same = self.validated
+        if not found:
+            return []
+        ceiling = max(r["f1"] for r in base)
         out = []
-        for i, k in enumerate(which):
-            f = grid[k]
-            others = [("address_only_same", of_same[(f.addr_mode, f.alpha, f.gamma)]), *((f"no_{c}", r) for c, r in zip(ABLATIONS, got[i * 4 : i * 4 + 4], strict=True)), *zip(BASELINES, of_base, strict=True)]
+        for k, f in enumerate(self.grid):
+            own, f1 = same[self.address(k)]["f1"], found[k]["f1"]
+            out.append((k, f.name, *_measures(found[k]), own, f1 - ceiling, f1 - own, f1 - max(ceiling, own)))
+        return out
+
+    def taken_apart(self, split: str, which: list[int], full: dict, base: list, same: dict) -> list[tuple]:
+        got = best_of_jobs(self.rows[split], [(self.grid[k].name, self.grid[k], c) for k in which for c in ABLATIONS], self.bins) if full else []
+        out, n = [], len(ABLATIONS)
+        for i, k in enumerate(which if got else ()):
+            others = [("address_only_same", same[self.address(k)]), *((f"no_{c}", r) for c, r in zip(ABLATIONS, got[i * n : i * n + n], strict=True)), *zip(BASELINES, base, strict=True)]
             margin = full[k]["f1"] - max(r["f1"] for _, r in others)
-            out += [(k, f.name, n, *_measures(r), margin) for n, r in (("full", full[k]), *others)]
+            out += [(k, self.grid[k].name, name, *_measures(r), margin) for name, r in (("full", full[k]), *others)]
         return out
 
-    apart = taken_apart(val, ranked, dict(enumerate(found)), base, same)
-    margins = {r[0]: r[-1] for r in apart}
-    chosen = sorted(ranked, key=lambda k: (-margins[k], -found[k]["f1"], ranked.index(k)))[:report]
-    again = best_of_jobs(test, [(grid[k].name, grid[k], "") for k in chosen] + [(n, None, n) for n in BASELINES] + [("", f, "context") for f in alone.values()], bins)
-    told = taken_apart(test, chosen, dict(zip(chosen, again, strict=False)), again[len(chosen) : len(chosen) + len(BASELINES)], dict(zip(alone, again[len(chosen) + len(BASELINES) :], strict=True))) if again else []
-    return spark.createDataFrame(table, schema), spark.createDataFrame(apart, parts), spark.createDataFrame(told, parts)
+    @functools.cached_property
+    def parts(self) -> list[tuple]:
+        best = sorted(self.margins, key=lambda r: (-r[-1], -r[-2], -self.validated[0][r[0]]["f1"], r[0]))[: self.top]
+        return self.taken_apart("val", [r[0] for r in best], *self.validated)
+
+    def table(self) -> DataFrame:
+        """(place, name, measures, same_address_f1, margins): every formula at its best threshold, against the best baseline, the
+        address score that it uses, and the better of both (the fair ceiling)."""
+        return self.spark.createDataFrame(self.margins, f"place int, name string, {MEASURES}, same_address_f1 double, margin_vs_baseline double, margin_vs_same_address double, margin_vs_fair_ceiling double")
+
+    def ablations(self) -> DataFrame:
+        """(place, name, ablation, measures, full_margin_vs_best_ablation): the `top` formulas by margin, in parts and against baselines."""
+        return self.spark.createDataFrame(self.parts, self.PARTS)
+
+    def test(self) -> DataFrame:
+        """The same of the `report` best by that last margin, on the test split."""
+        margin = {r[0]: r[-1] for r in self.parts}  # in the order of the parts, which sorting keeps among ties
+        chosen = sorted(margin, key=lambda k: (-margin[k], -self.validated[0][k]["f1"]))[: self.report]
+        return self.spark.createDataFrame(self.taken_apart("test", chosen, *self.full("test", chosen)), self.PARTS)

@@ -283,25 +283,25 @@ def rounded(df):
 
 
 def searched(spark, sf):
-    return features.search_formulas(features.with_splits(feature_rows(spark, sf)))
+    return features.FormulaSearch(features.with_splits(feature_rows(spark, sf)))
 
 
 @query("ml8_formula_search", sql(f"SELECT place, name, {MEASURES}, round(same_address_f1, 9) same_address_f1, round(margin_vs_baseline, 9) margin_vs_baseline, round(margin_vs_same_address, 9) margin_vs_same_address, round(margin_vs_fair_ceiling, 9) margin_vs_fair_ceiling FROM found", *NEED, **FEATS, **SEARCH))
 def ml8(spark, sf):
     """Each of the 3264 formulas at its best threshold on the validation days, and its margins."""
-    return rounded(searched(spark, sf)[0])
+    return rounded(searched(spark, sf).table())
 
 
 @query("ml8_formula_ablations", sql(PARTS.replace("SPLIT", "val"), *NEED, **FEATS, **SEARCH, **APART))
 def ml8_ablations(spark, sf):
     """The 200 best formulas in parts and against baselines."""
-    return rounded(searched(spark, sf)[1])
+    return rounded(searched(spark, sf).ablations())
 
 
 @query("ml8_formula_test", sql(PARTS.replace("SPLIT", "test"), *NEED, **FEATS, **SEARCH, **APART, **TESTED))
 def ml8_test(spark, sf):
     """The ten best by their margin over their own parts, on the test days."""
-    return rounded(searched(spark, sf)[2])
+    return rounded(searched(spark, sf).test())
 
 
 @query("ml11_published_coefficients", sql(f"SELECT count(*) n, round(avg({sp.logistic()}), 9) mean_score FROM feats", *NEED, **FEATS))

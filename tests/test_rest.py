@@ -122,7 +122,8 @@ def test_learning(spark):
 def test_formula_search(spark):
     rows = [(int(k % 2), float(min(6, k % 7)), float(min(6, k % 5)), k % 2 * 0.5 + k % 7 / 14, float(k % 3 == 0), float(k % 2), k % 10 / 10, k % 4 / 4, ("val", "test")[k // 2 % 2]) for k in range(400)]
     data = spark.createDataFrame(rows, "label int, matched_prefix double, matched_suffix double, s_addr double, s_type double, s_token double, s_time double, s_value double, split_time string").withColumn("candidates_scored", F.lit(1))
-    table, apart, told = (x.collect() for x in features.search_formulas(data, bins=101, top=5, report=2))
+    search = features.FormulaSearch(data, bins=101, top=5, report=2)
+    table, apart, told = (x.collect() for x in (search.table(), search.ablations(), search.test()))
     assert len(table) == 3264 and len(apart) == 50 and len(told) == 20 and {r.ablation for r in told} == {r.ablation for r in apart} and len({r.ablation for r in apart}) == 10
     # the best formula again, threshold by threshold
     best = max(table, key=lambda r: (r.margin_vs_fair_ceiling, r.margin_vs_same_address, r.f1, -r.place))
